@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import bpe
+from vectorloom.llm import bpe, exact_dedup
 
 
 def _tokenizer(name: str) -> str:
@@ -25,8 +25,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = [op1_bpe]
-ORACLES: dict[str, str] = {}
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
+
+
+QUERIES = [op1_bpe, op6_exact_dedup]
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": """
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256
+        from (select doc_id, t, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size
+              from (select doc_id, coalesce(text, '') as t from documents))
+    """,
+}
 
 
 def queries() -> dict:

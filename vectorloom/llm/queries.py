@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import bpe, exact_dedup
+from vectorloom.llm import bpe, exact_dedup, packing
 
 
 def _tokenizer(name: str) -> str:
@@ -30,7 +30,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = [op1_bpe, op6_exact_dedup]
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 2048)
+    return packing.pack(cut.drop("ids"), 2048).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = [op1_bpe, op6_exact_dedup, op9_packing]
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256

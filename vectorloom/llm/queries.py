@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import bpe, exact_dedup, packing
+from vectorloom.llm import bpe, exact_dedup, packing, simhash
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +25,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, radius=3)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
@@ -35,7 +39,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.drop("ids"), 2048).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = [op1_bpe, op6_exact_dedup, op9_packing]
+QUERIES = [op1_bpe, op3_simhash, op6_exact_dedup, op9_packing]
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256

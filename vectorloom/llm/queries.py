@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import bpe, exact_dedup, packing, simhash
+from vectorloom.llm import bpe, exact_dedup, packing, simhash, substring_dedup
 
 
 def _tokenizer(name: str) -> str:
@@ -34,12 +34,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), width=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 2048)
     return packing.pack(cut.drop("ids"), 2048).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = [op1_bpe, op3_simhash, op6_exact_dedup, op9_packing]
+QUERIES = [op1_bpe, op3_simhash, op6_exact_dedup, op8_substring_dedup, op9_packing]
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import bpe, exact_dedup, packing, simhash, substring_dedup
+from vectorloom.llm import bpe, exact_dedup, packing, simhash, substring_dedup, toxicity
+from vectorloom.llm.shared import crc_mod
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +26,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(docs, labels.where(crc_mod(F.col("doc_id"), 4) != 2))
+    scored = toxicity.score(docs, lexicon)
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, radius=3)
 
@@ -44,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.drop("ids"), 2048).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = [op1_bpe, op3_simhash, op6_exact_dedup, op8_substring_dedup, op9_packing]
+QUERIES = [op1_bpe, op2_toxicity, op3_simhash, op6_exact_dedup, op8_substring_dedup, op9_packing]
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256

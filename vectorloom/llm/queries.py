@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import bpe, exact_dedup, packing, simhash, substring_dedup, toxicity
+from vectorloom.llm import audio, bpe, exact_dedup, packing, simhash, substring_dedup, toxicity
 from vectorloom.llm.shared import crc_mod
 
 
@@ -53,7 +53,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.drop("ids"), 2048).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = [op1_bpe, op2_toxicity, op3_simhash, op6_exact_dedup, op8_substring_dedup, op9_packing]
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.features(audio.store(_table(spark, sf_dir, "documents")))
+    digits = F.array_join(F.transform("mel_mean", lambda x: F.format_number(x, 3)), " ")
+    spans = F.array_join(F.transform("segments", lambda s: F.concat(F.format_number(s.start_s, 3), F.lit("-"), F.format_number(s.end_s, 3))), " ")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -audio.UNIT, audio.UNIT)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.col("frames").cast("string"), F.size("tensors").cast("string"), digits, F.sha2(spans, 256)).alias("feature"),
+    )
+
+
+QUERIES = [op1_bpe, op2_toxicity, op3_simhash, op6_exact_dedup, op8_substring_dedup, op9_packing, op10_audio]
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import audio, bpe, exact_dedup, packing, simhash, substring_dedup, toxicity
+from vectorloom.llm import audio, bpe, exact_dedup, packing, simhash, substring_dedup, toxicity, url_filter
 from vectorloom.llm.shared import crc_mod
 
 
@@ -43,6 +43,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), width=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -69,8 +76,18 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [op1_bpe, op2_toxicity, op3_simhash, op6_exact_dedup, op8_substring_dedup, op9_packing, op10_audio]
+QUERIES = [op1_bpe, op2_toxicity, op3_simhash, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_packing, op10_audio]
 ORACLES: dict[str, str] = {
+    # The pages' html holds no canonical links or refreshes, so no alias adds to the rules; tests/llm checks aliases.
+    "op7_url_filter": """
+        select page_id, host, path, rule, coalesce(case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' end, 'allow') as verdict
+        from (select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+                             when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+                             when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+                             when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule
+              from (select page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                           coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path from pages))
+    """,
     "op6_exact_dedup": """
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256
         from (select doc_id, t, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size

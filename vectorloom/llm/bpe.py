@@ -35,8 +35,23 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=2)
+def token_table(path: str) -> list[bytes]:
+    """The bytes of every token of a byte-level tokenizer file, by id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    to_byte = {c: b for b, c in enumerate(byte_characters())}
+    found = {i: bytes(map(to_byte.__getitem__, token)) for token, i in spec["model"]["vocab"].items()}
+    found |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return [found.get(i, b"") for i in range(1 + max(found))]
+
+
+def decode_ids(path: str, ids) -> str:
+    return b"".join(map(token_table(path).__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
+
+
 class BoundaryEncoder:
-    """Encoder and decoder of one tokenizer file of the byte-level kind without normalizer."""
+    """Encoder of one tokenizer file of the byte-level kind without normalizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,24 +62,16 @@ class BoundaryEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.to_chars = {b: c for b, c in enumerate(byte_characters())}
-        to_byte = {c: b for b, c in self.to_chars.items()}
-        size = 1 + max([*spec["model"]["vocab"].values(), *self.special.values()])
-        self.token_bytes: list[bytes] = [b""] * size
+        self.to_chars = dict(enumerate(byte_characters()))
         inside = np.zeros((256, 256), dtype=bool)
-        for token, i in spec["model"]["vocab"].items():
-            raw = bytes(to_byte[c] for c in token)
-            self.token_bytes[i] = raw
+        for raw in token_table(path):
             codes = np.frombuffer(raw, np.uint8)
             inside[codes[:-1], codes[1:]] = True
-        for token, i in self.special.items():
-            self.token_bytes[i] = token.encode()
-        self.joinable = inside
         self.joinable_rows = [frozenset(np.flatnonzero(row).tolist()) for row in inside]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pre_token = regex.compile(PRE_TOKEN)
-        self.fragments = PieceCache(self._encode_fragment)
-        self.pieces = PieceCache(self._encode_piece)
+        self.fragments = PieceCache(self._encode_fragment, 40_000, 20_000)
+        self.pieces = PieceCache(self._encode_piece, 160_000, 100_000)
 
     def cut(self, raw: bytes) -> list[bytes]:
         """The fragments between the forced boundaries of a byte string."""
@@ -103,8 +110,11 @@ class BoundaryEncoder:
                 packed += map(self.pieces.__getitem__, self._pieces(part))
         return np.frombuffer(b"".join(p[0] for p in packed), np.uint32), ",".join([p[1] for p in packed])
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
+
+def slices(batch: pa.RecordBatch, rows: int = 128):
+    """Parts of a batch, so that what is made of its rows is held for a few of them at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 @lru_cache(maxsize=2)
@@ -112,21 +122,27 @@ def encoder(path: str) -> BoundaryEncoder:
     return BoundaryEncoder(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids array<int>, ids_text: every whole text encoded. Narrow: no shuffle."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", round_trip: bool = False) -> DataFrame:
+    """id_col, ids array<int>, ids_text and, for a round trip, decoded: every whole text encoded. Narrow: no shuffle.
+
+    A round trip decodes the ids in the same worker, so that one process for each core holds the vocabulary."""
 
     def run(batches):
         codec = encoder(path)
         for batch in batches:
-            rows = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r[0]) for r in rows], out=offsets[1:])
-            flat = np.concatenate([r[0] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([r[1] for r in rows], pa.string())], names=["id", "ids", "ids_text"])
+            for part in slices(batch):
+                rows = [codec.encode(t) for t in part.column(1).to_pylist()]
+                offsets = np.zeros(len(rows) + 1, np.int32)
+                np.cumsum([len(r[0]) for r in rows], out=offsets[1:])
+                flat = np.concatenate([r[0] for r in rows]).astype(np.int32)
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([r[1] for r in rows], pa.string())]
+                if round_trip:
+                    columns.append(pa.array([decode_ids(path, r[0]) for r in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "ids_text", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, ids_text string")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = source.mapInArrow(run, f"id {kind}, ids array<int>, ids_text string" + ", decoded string" * round_trip)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -134,11 +150,10 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """id_col, the columns to keep, decoded: the text of every list of ids (null: the empty text)."""
 
     def run(batches):
-        codec = encoder(path)
         for batch in batches:
-            ids = batch.column(0)
-            texts = [codec.decode(x.values.to_numpy() if x.is_valid else []) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "decoded"])
+            for part in slices(batch):
+                texts = [decode_ids(path, x.values.to_numpy() if x.is_valid else []) for x in part.column(0)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names=[*part.schema.names[1:], "decoded"])
 
     held = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in held)

@@ -20,10 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("byte_bpe_50k.json")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path)
-    encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"))
-    return bpe.decode(encoded, path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), round_trip=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import audio, bpe, exact_dedup, html_extract, packing, simhash, substring_dedup, toxicity, url_filter
+from vectorloom.llm import audio, bpe, brown_lm, exact_dedup, html_extract, packing, simhash, substring_dedup, toxicity, url_filter
 from vectorloom.llm.shared import crc_mod
 
 
@@ -41,6 +41,12 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = crc_mod(F.col("doc_id"), 10) != 0
+    found = brown_lm.scores(_table(spark, sf_dir, "documents"), train)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
@@ -79,7 +85,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [op1_bpe, op2_toxicity, op3_simhash, op4_html, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_packing, op10_audio]
+QUERIES = [op1_bpe, op2_toxicity, op3_simhash, op4_html, op5_brown_lm, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_packing, op10_audio]
 ORACLES: dict[str, str] = {
     # The pages' html holds no canonical links or refreshes, so no alias adds to the rules; tests/llm checks aliases.
     "op7_url_filter": """

@@ -125,9 +125,11 @@ class Packer:
 
     def evolve(self, elites: list[list[tuple]], generations: int, population: int) -> list[tuple]:
         bound = -(-sum(self.sizes) // self.capacity)
-        pool = list(elites)
+        pool = list(elites) or [self.start(0.0)]
+        if min(map(len, pool)) <= bound:  # no packing has fewer bins
+            return min(pool, key=self.fitness)
         while len(pool) < population:
-            pool.append(self.start(0.0 if not pool else 0.15))
+            pool.append(self.start(0.15))
         pool.sort(key=self.fitness)
         for _ in range(generations):
             if len(pool[0]) <= bound:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import regex
@@ -35,20 +36,23 @@ class WordEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.to_chars = dict(enumerate(byte_characters()))
         self.piece = regex.compile(split["pattern"]["Regex"])
-        self.pieces = PieceCache(self._encode_piece, 120_000, 60_000)
+        self.pieces = PieceCache(self._encode_piece, 200_000, 120_000)
         self.chunks = PieceCache(self._encode_chunk, 250_000, 150_000)
 
     def _encode_piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.to_chars)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.to_chars)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _encode_chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # one piece of letters
+            return self.pieces[chunk.lower()]
         return b"".join(map(self.pieces.__getitem__, self.piece.findall(chunk.lower())))
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         text = text or ""
-        if (not text.isascii() and PLAIN.search(text)) or re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text) or any(s in text for s in self.special):
+        if PLAIN.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.chunks.__getitem__, text.split()))
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorloom.functions.gaussian import digamma, log_gaussian, log_sum_exp, quadratic_form
 from vectorloom.storage import materialize
@@ -209,7 +210,7 @@ def predict(df: DataFrame, mixture: Mixture, columns: Sequence[str], label: str
 
 def fit_predict_frames(df: DataFrame, columns: Sequence[str], k: int = 8, max_iter: int = 100, gamma: float | None = None, label: str = "cluster") -> DataFrame:
     """df with a label from a mixture fitted to each frame by itself: a grouped map, one frame a group."""
-    schema = df.drop(label).schema.add(label, "int")
+    schema = T.StructType([*df.drop(label).schema.fields, T.StructField(label, T.IntegerType())])
     columns = list(columns)
 
     def run(table: pa.Table) -> pa.Table:

@@ -56,7 +56,7 @@ def nearest_distance(field: DataFrame) -> DataFrame:
 
 def spacing_of(field: DataFrame) -> DataFrame:
     """frame, spacing: the median over rows of the distance to the nearest other row."""
-    return nearest_distance(field).groupBy("frame").agg(F.percentile("distance", F.lit(0.5), "n").alias("spacing"))
+    return nearest_distance(field).groupBy("frame").agg(F.percentile("distance", F.lit(0.5), F.col("n")).alias("spacing"))
 
 
 def snap(value: Column, start: Column, spacing: Column, cells: Column) -> Column:

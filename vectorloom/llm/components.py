@@ -1,68 +1,5 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014), as DataFrame joins.
+"""Connected components, as the corpus operators use them: the library's alternating star steps."""
 
-Each round is written to the shared folder, so lineage stays short and lost executors cost one round. The smallest
-neighbour of a vertex is found with map-side combining, and the join that hands it out has no aggregate above it on
-the same key, so a vertex with very many edges can be split by skew handling. No edge reaches the driver.
+from vectorloom.operators.graph import components, local_stars
 
-Defined results: self links and null ends are ignored; repeated links count once; no links give no rows.
-"""
-
-from __future__ import annotations
-
-import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from vectorloom.llm.shared import materialize
-
-
-def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member number of each of n items' component under the links a[i] - b[i]."""
-    label = np.arange(n)
-    while len(a):
-        la, lb = label[a], label[b]
-        differ = la != lb
-        if not differ.any():
-            break
-        a, b = a[differ], b[differ]
-        low, high = np.minimum(la, lb)[differ], np.maximum(la, lb)[differ]
-        np.minimum.at(label, high, low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    return label
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _sum(edges: DataFrame) -> tuple:
-    n = F.count(F.lit(1)), F.sum((F.xxhash64("u", "v") % (1 << 31)).cast("long"))
-    return tuple(edges.agg(*n).first())
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root): the smallest member of the component of every end of the edges (u, v)."""
-    now = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialize(now, f"{name}-edges")
-    before = _sum(now)
-    while before[0]:
-        now = materialize(_small_star(_large_star(now)), f"{name}-round")
-        after = _sum(now)
-        if after == before:
-            break
-        before = after
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+__all__ = ["components", "local_stars"]

@@ -2,45 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if its counted rows, at this many bytes each, stay below the limit.
-BROADCAST_ROW_BYTES = 64
-BROADCAST_LIMIT_BYTES = 64 << 20
-
-WORDS = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vectorloom-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from vectorloom.storage import materialize, maybe_broadcast, shared_dir
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Mark a table for broadcast if a count shows that it is small; otherwise leave the join to the planner."""
-    return F.broadcast(df) if df.count() * BROADCAST_ROW_BYTES <= BROADCAST_LIMIT_BYTES else df
+__all__ = ["block_count", "crc_mod", "materialize", "maybe_broadcast", "shared_dir", "shuffle_parts"]
 
 
 def crc_mod(column: Column, m: int) -> Column:

@@ -33,7 +33,7 @@ from vectorloom.llm.piece_cache import PieceCache
 from vectorloom.llm.shared import block_count, materialize
 
 BLOCK_BYTES = 4 << 20
-DEPTH = 2
+DEPTH = 2  # one for each half of a window's fingerprint
 #: Cells of each sketch row for each window, before rounding up to a power of two.
 CELLS_PER_WINDOW = 4
 SLICE_WINDOWS = 3_000_000
@@ -60,18 +60,29 @@ def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def window_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """A 128-bit fingerprint (two uint64) of every window of the words."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros((0, 2), np.uint64)
-    of = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u8").reshape(-1, 2)
-    out = np.zeros((n, 2), np.uint64)
-    factors = np.array(FACTORS, np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """128 bits (two uint64) of every word."""
+    return np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u8").reshape(-1, 2)
+
+
+def window_hashes(of: np.ndarray, width: int) -> list[np.ndarray]:
+    """Two 64-bit polynomial hashes, mixed, of every width consecutive words; by doubling, so in log(width) steps."""
+    out = []
     with np.errstate(over="ignore"):
-        for j in range(width):
-            out = out * factors + of[j : j + n]
-        return _mix(out)
+        for c, factor in enumerate(FACTORS):
+            run, power, length = np.ascontiguousarray(of[:, c]), factor, 1  # of the windows of this length
+            got, done, bit = None, 0, width
+            while True:
+                if bit & 1:
+                    got = run if got is None else got[: len(run) - done] * np.uint64(power) + run[done:]
+                    done += length
+                bit >>= 1
+                if not bit:
+                    break
+                run = run[:-length] * np.uint64(power) + run[length:]
+                power, length = power * power & 0xFFFFFFFFFFFFFFFF, 2 * length
+            out.append(_mix(got[: max(0, len(of) - width + 1)]))
+    return out
 
 
 def pack_gaps(values: np.ndarray) -> bytes:
@@ -106,12 +117,6 @@ def unpack_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The cell of each window in a sketch row of 2 ** bits cells."""
-    with np.errstate(over="ignore"):
-        return _mix(hashes[:, 0] + np.uint64(row + 1) * np.uint64(FACTORS[1])) >> np.uint64(64 - bits)
-
-
 def _bits_of(windows: int) -> int:
     return max(10, (windows * CELLS_PER_WINDOW - 1).bit_length()) if windows else 10
 
@@ -123,36 +128,57 @@ class Block:
         ids, marks = table["key"].to_numpy(), table["mark"].to_numpy()
         self.order = np.lexsort((marks, ids))
         self.ids, self.marks = ids[self.order], marks[self.order]
-        self.texts, self.words, self.copy, parts = table["text"], [], [], []
-        nothing = np.zeros((0, 2), np.uint64)
-        before = None
+        self.texts, self.copy, self.width = table["text"], [], width
+        counts, hashes, before = [], [], None
         for at, *who in zip(self.order.tolist(), self.ids.tolist(), self.marks.tolist(), strict=True):
             words = word_list(self.texts[at].as_py())
-            self.words.append(len(words))
             copy = len(words) >= width and (tuple(who) in copies or who == before)
             self.copy.append(copy)
-            parts.append(nothing if copy else window_hashes(words, width))
+            counts.append(0 if copy or len(words) < width else len(words))
+            if counts[-1]:
+                hashes.append(word_hashes(words))
             before = who
-        self.width = width
-        self.counts = np.array([len(p) for p in parts], np.int64)
-        hashes = np.concatenate(parts) if parts else nothing
-        # A stable sort, so that the first of equal windows is the earliest: documents come in order.
-        keys = np.lexsort((hashes[:, 1], hashes[:, 0]))
-        hashes = hashes[keys]
-        new = np.ones(len(keys), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]).any(axis=1)
-        self.unique = hashes[new]
-        starts = np.flatnonzero(new)
+        counts = np.array(counts, np.int64)
+        # Windows of all documents in one array; those that would cross a document's end are left out.
+        total = int(counts.sum())
+        inside = np.ones(total, bool)
+        ends = np.cumsum(counts)
+        for k in range(1, width):
+            inside[ends[counts > 0] - k] = False
+        self.counts = np.where(counts > 0, counts - width + 1, 0)
+        h0, h1 = (x[inside[: len(x)]] for x in window_hashes(np.concatenate(hashes), width)) if total else (np.zeros(0, np.uint64),) * 2
+        keys = np.argsort(h0)
+        first, second = h0[keys], h1[keys]
+        same = first[1:] == first[:-1]
+        if (same & (second[1:] != second[:-1])).any():  # two windows with one half in common
+            keys = np.lexsort((h1, h0))
+            first, second = h0[keys], h1[keys]
+            same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+        starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(keys) else np.zeros(0, np.int64)
+        self.first, self.second = first[starts], second[starts]
         self.times = np.diff(np.append(starts, len(keys)))
-        self.first_at = keys[starts]
-        owner = np.searchsorted(np.cumsum(self.counts), self.first_at, side="right")
-        self.first_id, self.first_mark = self.ids[owner], self.marks[owner]
+        # Documents come in order, so the least position is the earliest start.
+        self.first_at = np.minimum.reduceat(keys, starts) if len(keys) else keys
+
+    def firsts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and marks of the documents in which the distinct windows start first."""
+        owner = np.searchsorted(np.cumsum(self.counts), self.first_at[which], side="right")
+        return self.ids[owner], self.marks[owner]
 
     def cells(self, row: int, bits: int):
-        """Distinct cells of a sketch row, whether twice or more, and the cell number of each distinct window."""
-        cells, inverse = np.unique(_cells(self.unique, row, bits), return_inverse=True)
-        twice = np.bincount(inverse, weights=np.minimum(self.times, 2), minlength=len(cells)) >= 2
-        return cells, twice, inverse
+        """Distinct cells of a sketch row, whether twice or more, and the cell number of each distinct window.
+
+        A row's cell is the leading bits of one of the two hashes; the windows are sorted by the first."""
+        cells = (self.second if row else self.first) >> np.uint64(64 - bits)
+        order = np.argsort(cells) if row else np.arange(len(cells))
+        ranked = cells[order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        starts = np.flatnonzero(new)
+        twice = np.add.reduceat(np.minimum(self.times, 2)[order], starts) >= 2 if len(starts) else np.zeros(0, bool)
+        inverse = np.empty(len(cells), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        return ranked[starts], twice, inverse
 
 
 def _cut(sorted_: np.ndarray, bits: int, parts: int) -> list[tuple[int, int, int]]:
@@ -219,7 +245,7 @@ def _exact(table: pa.Table) -> pa.Table:
     order = np.lexsort((got[2], got[1], hashes[:, 1], hashes[:, 0]))
     ranked = hashes[order]
     later = np.zeros(len(order), bool)
-    later[1:] = (ranked[1:] == ranked[:-1]).all(axis=1)
+    later[1:] = (ranked[1:, 0] == ranked[:-1, 0]) & (ranked[1:, 1] == ranked[:-1, 1])
     late = np.sort(order[later])
     cuts = np.searchsorted(sender[late], np.arange(len(sizes) + 1))
     blocks, parts = table["block"].to_pylist(), table["slice"].to_pylist()
@@ -278,14 +304,15 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         if not table.num_rows or not any(r >= 0 for r in told):
             return _table(FOUND, [])
         block = Block(table, width, _copies(told))
-        often = np.ones(len(block.unique), bool)
+        often = np.ones(len(block.first), bool)
         for row in range(DEPTH):
             cells, _, inverse = block.cells(row, bits)
             cuts = _cut(cells, bits, parts)
             heavy = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8), count=b - a) for d, (_, a, b) in zip(told[row], cuts, strict=True)])
             often &= heavy[inverse].astype(bool)
-        hashes, ids, marks = block.unique[often], block.first_id[often], block.first_mark[often]
-        out = [(p, table["block"][0].as_py(), hashes[a:b].tobytes(), ids[a:b].tobytes(), marks[a:b].tobytes()) for p, a, b in _cut(np.ascontiguousarray(hashes[:, 0]), 64, parts)]
+        hashes = np.stack([block.first[often], block.second[often]], axis=1)
+        ids, marks = block.firsts(often)
+        out = [(p, table["block"][0].as_py(), hashes[a:b].tobytes(), ids[a:b].tobytes(), marks[a:b].tobytes()) for p, a, b in _cut(block.first[often], 64, parts)]
         return _table(FOUND, out)
 
     def finish(table: pa.Table, tell: pa.Table) -> pa.Table:
@@ -297,10 +324,10 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
         goes[block.first_at] = False
         if EARLIER in told:
             elsewhere = np.frombuffer(b"".join(told[EARLIER]), "<u8").reshape(-1, 2)
-            both = np.concatenate([block.unique, elsewhere])
-            order = np.lexsort((both[:, 1], both[:, 0]))
-            same = (both[order][1:] == both[order][:-1]).all(axis=1)
-            goes[block.first_at[np.minimum(order[:-1], order[1:])[same]]] = True
+            at = np.searchsorted(block.first, elsewhere[:, 0])
+            while (miss := block.second[at] != elsewhere[:, 1]).any():  # each of them is one of the block's windows
+                at[miss] += 1
+            goes[block.first_at[at]] = True
         out, at = [], 0
         for k, n in enumerate(block.counts.tolist()):
             words, gone = word_list(block.texts[int(block.order[k])].as_py()), 0

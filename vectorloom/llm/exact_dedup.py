@@ -110,3 +110,21 @@ def dedup(
         )
         found = found.select(*out).unionByName(split.select(*out))
     return found.select(F.col("id").alias(id_col), *out[1:])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each text, with all its columns."""
+    found = materialize(dedup(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), "kept"), "dedup-found")
+    by_row = found.groupBy("__id", "__digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    gone = by_row.where(~F.col("stays")).select("__id", "__digest")
+    digest = _sha256(F.coalesce(F.col(text_col), F.lit("")))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
+    out = docs.join(maybe_broadcast(gone), same, "left_anti")
+    repeated = by_row.where("stays and rows > 1").select("__id", "__digest")
+    if repeated.isEmpty():
+        return out
+    # Rows with one id and one text: the first by their other columns' hash stays.
+    repeated = maybe_broadcast(repeated)
+    number = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy("__order"))
+    one = out.join(repeated, same).withColumn("__order", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("__n", number).where("__n = 1").select(*docs.columns)
+    return out.join(repeated, same, "left_anti").unionByName(one)

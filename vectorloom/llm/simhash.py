@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.bpe import slices
 from vectorloom.llm.components import components, local_stars
-from vectorloom.llm.shared import materialize, shuffle_parts
+from vectorloom.llm.shared import materialize, maybe_broadcast, shuffle_parts
 
 SEED = 42
 BITS = 64
@@ -194,11 +194,11 @@ def tile_pairs(rows: DataFrame, keys: list[str], klass: str, reach: int, tile: i
     """Rows dealt to the tile pairs that they belong to: keys, ca, qa, cb, qb, side ('a', 'b', or 'a' alone where both are one tile).
 
     A class of a bucket has ceil(rows / tile) tiles, dealt by a hash; tiles meet if their classes are within reach."""
-    units = rows.groupBy(*keys, klass).agg(F.count(F.lit(1)).alias("rows")).withColumn("tiles", F.ceil(F.col("rows") / tile).cast("int"))
+    units = rows.groupBy(*keys, klass).agg(F.count(F.lit(1)).alias("rows")).select(*keys, klass, F.ceil(F.col("rows") / tile).cast("int").alias("tiles"))
     units = materialize(units, "simhash-units")
-    own = rows.join(units.drop("rows"), [*keys, klass]).withColumn("q", F.pmod(F.xxhash64(*payload), F.col("tiles")).cast("int"))
-    other = units.select(*keys, F.col(klass).alias("oc"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("oq"))
-    meets = own.join(other, keys).where(F.abs(F.col("oc") - F.col(klass)) <= reach)
+    own = rows.join(units, [*keys, klass]).withColumn("q", F.pmod(F.xxhash64(*payload), F.col("tiles")).cast("int")).drop("tiles")
+    own = own.withColumn("oc", F.explode(F.sequence(F.col(klass) - reach, F.col(klass) + reach)))
+    meets = own.join(units.withColumnRenamed(klass, "oc"), [*keys, "oc"]).withColumn("oq", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     first = (F.col(klass) < F.col("oc")) | ((F.col(klass) == F.col("oc")) & (F.col("q") <= F.col("oq")))
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return meets.select(*keys, pick(klass, "oc").alias("ca"), pick("q", "oq").alias("qa"), pick("oc", klass).alias("cb"), pick("oq", "q").alias("qb"), F.when(first, "a").otherwise("b").alias("side"), *payload)
@@ -229,3 +229,172 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     rooted = materialize(rooted, "simhash-roots")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
+
+
+# Groups of similar documents: wide fingerprints nominate pairs, shingle sets decide.
+
+#: Documents at the similarity of 0.8 differ in about 19 of 128 bits, others in 64; the radius is over three deviations from both.
+WIDE_RADIUS = 32
+WIDE_TILE = 32_768
+#: Nominations of a document by rounds: the nearest ones first, all in the last. Those in its group already are passed over.
+ROUNDS = (0, 8, 64, 512, None)
+
+
+def wide_hashes(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingles' 128-bit hashes as two columns; a text of fewer words is one shingle, a blank one none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros((0, 2), np.uint64)
+    k = min(k, len(words))
+    shingles = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, shingles)), "<u8").reshape(-1, 2)
+
+
+def _wide(rows: DataFrame, k: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                f0, f1, size = [], [], []
+                for text in part.column(3).to_pylist():
+                    h = wide_hashes(text, k)
+                    f0.append(fingerprint(h[:, 0]))
+                    f1.append(fingerprint(h[:, 1]))
+                    size.append(len(h))
+                planes = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *planes, pa.array(size, pa.int64())], names=["row", "id", "mark", "f0", "f1", "size"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("row", "id", "mark", "text").mapInArrow(run, f"row long, id {kind}, mark long, f0 long, f1 long, size long")
+
+
+def _nominate(nodes: DataFrame, radius: int, similarity: float, low: int, high: int | None, tile: int) -> DataFrame:
+    """(a, b): for each open row a its low-th to high-th nearest rows b within the radius, of other groups; b null: there are more."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy(zero_copy_only=False) == "a"
+        get = lambda c, on: table[c].to_numpy()[on]
+        parts = []
+        for on in (side, ~side):
+            order = np.lexsort((get("row", on), np.bitwise_count(get("f0", on).view(np.uint64))))
+            parts.append({c: get(c, on)[order] for c in ("row", "size", "root")} | {c: get(c, on)[order].view(np.uint64) for c in ("f0", "f1")} | {"open": table["open"].to_numpy(zero_copy_only=False)[on][order]})
+        x, same = parts[0], not len(parts[1]["row"])
+        y = x if same else parts[1]
+        found_a, found_b, more = [], [], []
+        for i in range(0, len(x["row"]), SUB_TILE):
+            own = {c: v[i : i + SUB_TILE] for c, v in x.items()}
+            ps, qs, ds = [], [], []
+            for j in range(i if same else 0, len(y["row"]), SUB_TILE):
+                other = {c: v[j : j + SUB_TILE] for c, v in y.items()}
+                # The first plane alone: sub-tiles are sorted by its population count.
+                if abs_gap(own["f0"], other["f0"]) > radius:
+                    continue
+                d = np.bitwise_count(own["f0"][:, None] ^ other["f0"][None, :])
+                d += np.bitwise_count(own["f1"][:, None] ^ other["f1"][None, :])
+                near = d <= radius
+                near &= own["open"][:, None] | other["open"][None, :]
+                p, q = np.nonzero(np.triu(near, 1) if same and i == j else near)
+                if len(p):
+                    a, b = own["size"][p], other["size"][q]
+                    ok = np.minimum(a, b) >= similarity * np.maximum(a, b)
+                    ps.append(p[ok])
+                    qs.append(q[ok] + j)
+                    ds.append(d[p[ok], q[ok]])
+            if not ps:
+                continue
+            p, q, d = np.concatenate(ps), np.concatenate(qs), np.concatenate(ds)
+            order = np.lexsort((y["row"][q], d, p))
+            p, q = p[order], q[order]
+            rank = np.arange(len(p)) - np.searchsorted(p, p)
+            apart = own["root"][p] != y["root"][q]
+            if high is not None:
+                more.append(np.unique(own["row"][p[(rank >= high) & apart]]))
+            take = (rank >= low) & apart if high is None else (rank >= low) & (rank < high) & apart
+            found_a.append(own["row"][p[take]])
+            found_b.append(y["row"][q[take]])
+        join = lambda arrays: np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+        a, b, rest = join(found_a), join(found_b), join(more)
+        return pa.table({"a": pa.array(np.concatenate([a, rest])), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(rest), pa.int64())])})
+
+    dealt = tile_pairs(nodes, [], "class", 1, tile, ["row", "f0", "f1", "size", "root", "open"])
+    return dealt.groupBy("ca", "qa", "cb", "qb").applyInArrow(compare, "a long, b long")
+
+
+def abs_gap(a: np.ndarray, b: np.ndarray) -> int:
+    """The least difference of population counts between two arrays that are sorted by it."""
+    low_a, high_a = int(np.bitwise_count(a[0])), int(np.bitwise_count(a[-1]))
+    low_b, high_b = int(np.bitwise_count(b[0])), int(np.bitwise_count(b[-1]))
+    return max(0, low_a - high_b, low_b - high_a)
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard similarity, of texts (row, text)."""
+
+    def run(batches):
+        before, left = None, None
+        for batch in batches:
+            u, v = [], []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if a != before:
+                    before, left = a, _shingle_set(x, k)
+                right = _shingle_set(y, k)
+                common = len(left & right)
+                if (not left and not right) or common >= similarity * (len(left) + len(right) - common) > 0:
+                    u.append(a)
+                    v.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
+    # Hashed by the pair, so that a document with very many partners is no task's alone.
+    dealt = both.select("a", "b", "ta", "tb").repartition(shuffle_parts(pairs.sparkSession), "a", "b").sortWithinPartitions("a")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _shingle_set(text: str | None, k: int) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k = min(k, len(words))
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
+    """id, mark (xxhash64 of the text), group_id, stays for every distinct (id, text): groups of documents linked by similarity.
+
+    The document with the smallest id of a group stays (null ids last, then the smallest mark). Repeated rows of one id
+    and text are one document here. Blank texts are alike."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    known = materialize(rows.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).select("id", "mark", F.monotonically_increasing_id().alias("row")), "similar-rows")
+    numbered = lambda wanted: rows.join(wanted, (rows["id"].eqNullSafe(wanted["wid"])) & (rows["mark"] == wanted["wmark"])).select("row", "id", "mark", "text")
+    own = known.select(F.col("id").alias("wid"), F.col("mark").alias("wmark"), "row")
+    made = _wide(rows.select(F.lit(0).cast("long").alias("row"), "id", "mark", "text"), k).drop("row")
+    made = made.join(own, (made["id"].eqNullSafe(own["wid"])) & (made["mark"] == own["wmark"])).select("row", "id", "mark", "f0", "f1", "size").dropDuplicates(["row"])
+    klass = F.when(F.col("size") == 0, -9).otherwise(F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9)).cast("int")
+    nodes = materialize(made.withColumn("class", klass), "similar-nodes")
+
+    root, open_ = nodes.select("row", F.col("row").alias("root")), nodes.select("row", F.lit(True).alias("open"))
+    links = None
+    for low, high in zip(ROUNDS, ROUNDS[1:], strict=False):
+        state = nodes.join(root, "row").join(open_, "row", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        found = materialize(_nominate(state, radius, similarity, low, high, tile), "similar-nominated")
+        pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+            texts = materialize(numbered(maybe_broadcast(own.join(wanted, "row", "left_semi"))).dropDuplicates(["row"]).select("row", "text"), "similar-texts")
+            sure = materialize(_verify(pairs, texts, k, similarity), "similar-links")
+            links = sure if links is None else links.unionByName(sure)
+            roots = components(links, "similar")
+            root = materialize(nodes.select("row").join(roots, F.col("row") == F.col("node"), "left").select("row", F.coalesce("root", "row").alias("root")), "similar-roots")
+        rest = found.where("b is null").select(F.col("a").alias("row")).distinct()
+        if rest.isEmpty():
+            break
+        open_ = rest.withColumn("open", F.lit(True))
+    grouped = nodes.join(root, "row")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "row")).alias("first"))
+    return grouped.join(first, "root").select(F.col("id").alias(id_col), "mark", F.col("first.id").alias("group_id"), (F.col("row") == F.col("first.row")).alias("stays"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents that are similar to one that stays; all columns as they were."""
+    gone = materialize(similar_groups(docs, k, similarity, id_col, text_col).where(~F.col("stays")).select(F.col(id_col).alias("__id"), F.col("mark").alias("__mark")), "similar-gone")
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(maybe_broadcast(gone), F.col(id_col).eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")

@@ -265,11 +265,12 @@ def _digests(rows: DataFrame) -> DataFrame:
     return rows.select("key", "mark", "block", "text").mapInArrow(run, "key long, mark long, block long, n_words long, digest binary")
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id, n_words, n_removed, kept (the words left, joined by one space) for every row of docs."""
+def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_words, n_removed, kept (the words left, joined by one space) and the columns to carry, for every row of docs."""
     blocks = block_count(docs, text_col, block_bytes)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE_FIRST)).alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    carried = [F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)]
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE_FIRST)).alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"), *carried)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key", "mark"), F.lit(blocks)))
 
     known = materialize(_digests(rows), "substring-digests").where(F.col("n_words") >= width)
@@ -317,7 +318,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     def finish(table: pa.Table, tell: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _table(OUT, [])
+            return pa.table([pa.array([], f.type) for f in out_schema(table)], schema=out_schema(table))
         told = _told(tell)
         block = Block(table, width, _copies(told))
         goes = np.ones(int(block.counts.sum()), bool)
@@ -344,13 +345,20 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
                 words_left = words
             at += n
             out.append((int(block.ids[k]), len(words), gone, b" ".join(words_left).decode("utf-8", "surrogatepass")))
-        return _table(OUT, out)
+        done = _table(OUT, out)
+        for k in range(len(carry)):
+            done = done.append_column(f"carry{k}", table[f"carry{k}"].take(pa.array(block.order)))
+        return done
 
+    def out_schema(table: pa.Table) -> pa.Schema:
+        return pa.schema([*OUT, *[table.schema.field(f"carry{k}") for k in range(len(carry))]])
+
+    out_ddl = ", ".join([ddl(OUT), *[f"carry{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)]])
     dealt = rows.groupBy("block")
     asked = dealt.cogroup(copies.groupBy("block")).applyInArrow(ask, ddl(ASK))
     often = asked.groupBy("row", "slice").applyInArrow(_merge, ddl(TELL))
     found = dealt.cogroup(often.unionByName(copies).groupBy("block")).applyInArrow(estimate, ddl(FOUND))
     earlier = found.groupBy("slice").applyInArrow(_exact, ddl(TELL))
-    done = dealt.cogroup(earlier.unionByName(copies).groupBy("block")).applyInArrow(finish, ddl(OUT))
+    done = dealt.cogroup(earlier.unionByName(copies).groupBy("block")).applyInArrow(finish, out_ddl)
     key = F.when(F.col("key") != NONE_FIRST, F.col("key")).alias(id_col)
-    return done.select(key, "n_words", "n_removed", "kept")
+    return done.select(key, "n_words", "n_removed", "kept", *[F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)])

@@ -243,3 +243,16 @@ def _featured(frame: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score, heaviest, normalised, n_words, matched of every row of docs. Narrow: no shuffle."""
     return _featured(docs.select(F.col(id_col), F.col(text_col).alias("text")), lexicon, id_col)
+
+
+def accept(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns. Narrow: no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                scores = [probability(lexicon, *features(lexicon, fold(t))[:2]) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([x < threshold for x in scores]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -3,9 +3,9 @@
 Folding lower-cases, composes compatibility forms, maps look-alike letters of other scripts to Latin ones, maps digits
 and signs inside words to the letters they stand for, and leaves words between single spaces. Lexicon entries are whole
 words and beginnings of words; their weights are log odds of the share of toxic and of clean labelled documents that
-have them, from all labelled documents. A word counts once, with its heaviest entry; words inside an exception phrase
-don't count. The score is a logistic function of the heaviest entry and of the sum of weights by the root of the
-length; it is fitted on at most FIT_ROWS labelled rows, taken in the order of a hash.
+have them. A word counts once, with its heaviest entry; words inside an exception phrase don't count. The score is a
+logistic function of the heaviest entry and of the sum of weights by the root of the length. Weights, exception phrases
+and the logistic function are fitted on at most FIT_ROWS labelled documents, taken in the order of a hash of the id.
 
 Defined results: a null or wordless text has no matches and the score of such a text. Labels that are null are ignored;
 of several labels of a document the largest counts. Without toxic or without clean training documents every score is 0.
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.bpe import slices
-from vectorloom.llm.shared import maybe_broadcast
+from vectorloom.llm.shared import materialize
 
-FIT_ROWS = 50_000
+FIT_ROWS = 20_000
 LEAST_DOCUMENTS = 3
 LEAST_SHARE = 0.004
 STEMS = range(3, 9)
@@ -173,7 +173,9 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """docs (doc_id, text), labels (doc_id, toxic): the lexicon. Only the rows of labels that are given are learned from."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(maybe_broadcast(known), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).alias("toxic"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))  # at most fit_rows ids
+    rows = materialize(rows, "toxicity-sample")
     toxic, clean = rows.where("toxic"), rows.where("not toxic")
 
     # Entries of at least this share of the toxic documents: their number does not grow with the input.
@@ -183,10 +185,10 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptio
         return Lexicon(exceptions=exceptions)
     least = max(LEAST_DOCUMENTS, math.ceil(LEAST_SHARE * total[0]))
     in_toxic = {r["entry"]: r["n"] for r in counted.where(F.col("n") >= least).collect() if r["entry"]}
-    candidates = Lexicon(tuple((e, 1.0) for e in sorted(in_toxic)), ())
+    candidates = frozenset(in_toxic)
 
     def known_entries(folded: str) -> set[str]:
-        return {e for _, (_, _, e) in _automaton(candidates).iter(folded)} if candidates.weights else set()
+        return _entries(folded) & candidates
 
     in_clean = {r["entry"]: r["n"] for r in _counted(clean, known_entries).collect()}
     n_toxic, n_clean = total[0], in_clean.get("", 0)
@@ -216,8 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptio
         spared -= {r["entry"] for r in _counted(toxic, phrases).where(F.col("entry").isin(sorted(spared))).collect()}
         lexicon = Lexicon(lexicon.weights, (*exceptions, *sorted(p.strip() for p in spared)), None, lexicon.rows)
 
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) if n_toxic + n_clean > fit_rows else rows
-    seen = _featured(sample.select("toxic", "text"), lexicon, "toxic").toPandas()
+    seen = _featured(rows.select("toxic", "text"), lexicon, "toxic").select("toxic", "heaviest", "normalised").toPandas()
     logistic = _fit_logistic(seen[["heaviest", "normalised"]].to_numpy(float), seen["toxic"].to_numpy(float))
     return Lexicon(lexicon.weights, lexicon.exceptions, logistic, lexicon.rows)
 

@@ -1,0 +1,98 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_filters import FIELD
+from vectorloom.operators import features, roi
+
+
+def ray_cast(polygon, x, y):
+    inside = False
+    for (x0, y0), (x1, y1) in zip(polygon, polygon[1:] + polygon[:1]):
+        if (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0:
+            inside = not inside
+    return inside
+
+
+CONCAVE = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 4.0), (0.0, 10.0)]
+
+
+def test_contains_equals_ray_cast(spark):
+    rng = random.Random(1)
+    pts = [(rng.uniform(-1, 11), rng.uniform(-1, 11)) for _ in range(400)]
+    df = spark.createDataFrame(pts, "x double, y double").withColumn("hit", roi.contains(CONCAVE))
+    assert all(r["hit"] == ray_cast(CONCAVE, r["x"], r["y"]) for r in df.collect())
+
+
+def test_rules_without_polygon(spark):
+    df = spark.createDataFrame([(1.0, 1.0)], "x double, y double")
+    assert df.select(roi.contains(None), roi.inside_or_all(None), roi.contains([(0, 0), (1, 1)])).first() == (False, True, False)
+    assert roi.clip(df, None).count() == 1
+    with pytest.raises(ValueError):
+        roi.clip(df.drop("x"), CONCAVE)
+
+
+def test_sectors_highest_number_wins(spark):
+    sectors = [CONCAVE, [(2.0, 1.0), (9.0, 1.0), (9.0, 3.0), (2.0, 3.0)], [(20.0, 20.0), (21.0, 20.0), (20.0, 21.0)]]
+    pts = [(1.0, 1.0), (3.0, 2.0), (5.0, 9.0), (None, 2.0)]
+    df = spark.createDataFrame([(1, x, y) for x, y in pts], "frame long, x double, y double")
+    want = [0, 1, -1, -1]
+    assert [r["prior_class"] for r in roi.prior_class(df, sectors).collect()] == want
+    table = spark.createDataFrame([(k, [list(p) for p in s]) for k, s in enumerate(sectors)], "idx int, points array<array<double>>")
+    got = {r["x"]: r["prior_class"] for r in roi.sector_join(df, table).collect()}
+    assert got == dict(zip([p[0] for p in pts], want))
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(1, float(k), 0.0, u, v, None if u is None else math.hypot(u, v)) for k, (u, v) in enumerate(rows)], FIELD)
+
+
+def test_angles_on_axes(spark):
+    rows = [(1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (-1.0, 1.0), (-1.0, 0.0), (-1.0, -1.0), (0.0, -1.0), (1.0, -1.0), (1.0, -0.0), (0.0, 0.0)]
+    out = features.features(vectors(spark, rows)).orderBy("x").collect()
+    assert [round(r["angle_deg"], 9) for r in out] == [0, 45, 90, 135, 180, 225, 270, 315, 0, 0]
+    assert all(0 <= r["angle_deg"] < 360 for r in out)
+    assert out[-1]["u_unit"] == 0 and out[-1]["magnitude_category"] is None
+
+
+def test_categories(spark):
+    rows = [(float(s), 0.0) for s in (0, 1, 2, 3, 4, 5, 6, 7)]
+    got = [r["magnitude_category"] for r in features.magnitude_category(vectors(spark, rows)).orderBy("x").collect()]
+    assert got == [None, "low", "medium", "medium", "high", "high", "very_high", "very_high"]
+    flat = features.magnitude_category(vectors(spark, [(2.0, 0.0)] * 4)).collect()  # equal quartiles: the first category
+    assert {r["magnitude_category"] for r in flat} == {"low"}
+    assert features.magnitude_category(vectors(spark, [(None, None), (1.0, 0.0)])).where("speed is null").first()["magnitude_category"] is None
+
+
+def test_scaling(spark):
+    rows = [(1.0, 5.0), (2.0, 5.0), (6.0, 5.0)]
+    out = features.standardize(vectors(spark, rows), ["u", "v"], {"u": 2.0}).orderBy("x").collect()
+    x = np.array([1.0, 2.0, 6.0])
+    assert [r["u_scaled"] for r in out] == pytest.approx((2 * (x - x.mean()) / x.std()).tolist())
+    assert [r["v_scaled"] for r in out] == [0.0] * 3  # a constant column
+    fitted = {r["column"]: (r["mean"], r["scale"]) for r in features.scaler(vectors(spark, rows), ["u", "v"]).collect()}
+    assert fitted == {"u": (pytest.approx(3.0), pytest.approx(x.std())), "v": (5.0, 1.0)}
+
+
+def test_weighted_blocks(spark):
+    df = vectors(spark, [(1.0, 2.0), (3.0, 1.0), (0.5, 4.0)]).withColumn("angle_deg", features.angle_deg())
+    a = features.weighted_blocks(df, spatial_weight=0.2, velocity_weight=0.8).orderBy("x").collect()
+    b = features.standardize(df, ["x", "u"]).orderBy("x").collect()
+    assert [r["x_scaled"] for r in a] == pytest.approx([0.2 * r["x_scaled"] for r in b])
+    assert [r["u_scaled"] for r in a] == pytest.approx([0.8 * r["u_scaled"] for r in b])
+
+
+def test_spatial_prior_first_rule_wins(spark):
+    df = spark.createDataFrame([(-2.0, 5.0), (0.0, 2.0), (2.0, 0.0), (0.0, 0.0)], "x double, y double")
+    got = [r[0] for r in df.select(features.spatial_prior()).collect()]
+    assert got == [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8], [1 / 3] * 3]
+    assert df.select(F.size(features.spatial_prior(5))).collect()[-1][0] == 5
+
+
+def test_index_and_fallback(spark):
+    df = vectors(spark, [(3.0, 4.0), (0.0, 1.0)])
+    assert [r["spatial_index"] for r in features.spatial_index(df).orderBy("x").collect()] == [0, 1]
+    assert features.with_magnitude(df.drop("speed")).orderBy("x").first()["speed"] == 5.0

@@ -43,7 +43,7 @@ def canonical(url: Column) -> Column:
     h = F.regexp_replace(F.regexp_replace(host(url), r"^[^@]*@", ""), r":(?:80|443)?$", "")
     p = path(url)
     query = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, PARTS, 3), TRACKING, ""), r"[?&]+$", "")
-    return F.when(h != "", F.concat(F.lit("http://"), h, F.when(p == "", F.lit("/")).otherwise(p), query))
+    return F.when(h != "", F.concat(F.lit("http://"), h, p, query))
 
 
 def _ranked(rules: list[Rule]) -> list[Rule]:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.bpe import slices
+from vectorloom.llm.shared import small_batches
 
 UNIT = 64
 RATE = 16_000
@@ -159,6 +160,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 rows = [payload(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in rows], pa.int64()), pa.array([to_wav(p) for p, _ in rows], pa.binary())], names=["id", "n_bytes", "media"])
 
+    small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)

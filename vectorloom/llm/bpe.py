@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.piece_cache import PieceCache
+from vectorloom.llm.shared import small_batches
 
 # The pre-token pattern of byte-level BPE (public), and characters on which all regex engines agree.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -140,6 +141,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     columns.append(pa.array([decode_ids(path, r[0]) for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "ids_text", "decoded"][: len(columns)])
 
+    small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = source.mapInArrow(run, f"id {kind}, ids array<int>, ids_text string" + ", decoded string" * round_trip)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.piece_cache import PieceCache
-from vectorloom.llm.shared import block_count, materialize
+from vectorloom.llm.shared import block_count, materialize, small_batches
 
 BLOCK_BYTES = 6 << 20
 CLASSES = 32
@@ -146,6 +146,7 @@ def _by_slice(words: list[bytes], parts: int) -> list[list[int]]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, train: Column, block_bytes: int) -> tuple[DataFrame, int]:
+    small_batches(docs)
     blocks = block_count(docs, text_col, block_bytes)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.alias("train"))
     return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), max(1, round(blocks**0.75))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.bpe import slices
-from vectorloom.llm.shared import materialize, maybe_broadcast
+from vectorloom.llm.shared import materialize, maybe_broadcast, small_batches
 from vectorloom.llm.url_filter import host
 
 #: A node is judged by its entropies if at least so many of its host's pages have it.
@@ -191,6 +191,7 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
                 columns = list(zip(*held, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array(held.values(), pa.int64())], names=["host", "node", "kind", "value", "n"])
 
+    small_batches(pages)
     seen = pages.select("host", "html").mapInArrow(run, "host string, node long, kind long, value long, n long")
     values = seen.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
     # Sum of n log n in whole steps of a value, so that tasks combine it before the shuffle.

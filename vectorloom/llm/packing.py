@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm import word_bpe
 from vectorloom.llm.bpe import slices
-from vectorloom.llm.shared import materialize
+from vectorloom.llm.shared import materialize, small_batches
 
 SHARD_PIECES = 16_384
 ISLANDS = 2
@@ -55,6 +55,7 @@ def pieces(docs: DataFrame, path: str, length: int, id_col: str = "doc_id", text
                 columns = [part.column(0).take(pa.array(docs_at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(held, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", "ids"])
 
+    small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")

@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.bpe import slices
-from vectorloom.llm.piece_cache import PieceCache
-from vectorloom.llm.shared import block_count, materialize
+from vectorloom.llm.shared import block_count, materialize, small_batches
 
 BLOCK_BYTES = 4 << 20
 DEPTH = 2  # one for each half of a window's fingerprint
@@ -43,11 +42,12 @@ NONE_FIRST = -(1 << 63)
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _word_hash(word: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(word)
+class WordHashes(dict):
+    """128 bits of every word, computed once for each distinct word of a block."""
 
-
-_WORDS = PieceCache(_word_hash, 300_000, 150_000)
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = value = xxhash.xxh3_128_digest(word)
+        return value
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,9 +60,9 @@ def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes], known: WordHashes) -> np.ndarray:
     """128 bits (two uint64) of every word."""
-    return np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u8").reshape(-1, 2)
+    return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u8").reshape(-1, 2)
 
 
 def window_hashes(of: np.ndarray, width: int) -> list[np.ndarray]:
@@ -129,15 +129,16 @@ class Block:
         self.order = np.lexsort((marks, ids))
         self.ids, self.marks = ids[self.order], marks[self.order]
         self.texts, self.copy, self.width = table["text"], [], width
-        counts, hashes, before = [], [], None
+        counts, hashes, before, known = [], [], None, WordHashes()
         for at, *who in zip(self.order.tolist(), self.ids.tolist(), self.marks.tolist(), strict=True):
             words = word_list(self.texts[at].as_py())
             copy = len(words) >= width and (tuple(who) in copies or who == before)
             self.copy.append(copy)
             counts.append(0 if copy or len(words) < width else len(words))
             if counts[-1]:
-                hashes.append(word_hashes(words))
+                hashes.append(word_hashes(words, known))
             before = who
+        known.clear()
         counts = np.array(counts, np.int64)
         # Windows of all documents in one array; those that would cross a document's end are left out.
         total = int(counts.sum())
@@ -267,6 +268,7 @@ def _digests(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, n_words, n_removed, kept (the words left, joined by one space) and the columns to carry, for every row of docs."""
+    small_batches(docs)
     blocks = block_count(docs, text_col, block_bytes)
     text = F.coalesce(F.col(text_col), F.lit(""))
     carried = [F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.bpe import slices
-from vectorloom.llm.shared import materialize
+from vectorloom.llm.shared import materialize, small_batches
 
 FIT_ROWS = 20_000
 LEAST_DOCUMENTS = 3
@@ -49,7 +49,7 @@ EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "pond scum",
 
 _HOMOGLYPHS = str.maketrans(HOMOGLYPHS)
 _DIGITS = str.maketrans(DIGITS)
-_LIKE = re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|(?<!\S)[0134578@$|]+(?=[^\W\d_]{2})")
+_LIKE = re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|(?<!\S)[0134578@$|]+(?=[^\W\d_]\S*[^\W\d_])")
 _ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 _APART = re.compile(r"[\W_]+")
 
@@ -144,6 +144,7 @@ def _counted(frame: DataFrame, count) -> DataFrame:
         if held:
             yield _counts(held)
 
+    small_batches(frame)
     return frame.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
@@ -178,8 +179,13 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptio
     rows = materialize(rows, "toxicity-sample")
     toxic, clean = rows.where("toxic"), rows.where("not toxic")
 
+    spare = re.compile("|".join(re.escape(fold(p)) for p in exceptions) or "(?!)")
+
+    def entries(folded: str) -> set[str]:
+        return _entries(spare.sub(" ", folded))
+
     # Entries of at least this share of the toxic documents: their number does not grow with the input.
-    counted = _counted(toxic, _entries)
+    counted = _counted(toxic, entries)
     total = counted.where("entry = ''").select("n").first()
     if total is None:
         return Lexicon(exceptions=exceptions)
@@ -188,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptio
     candidates = frozenset(in_toxic)
 
     def known_entries(folded: str) -> set[str]:
-        return _entries(folded) & candidates
+        return entries(folded) & candidates
 
     in_clean = {r["entry"]: r["n"] for r in _counted(clean, known_entries).collect()}
     n_toxic, n_clean = total[0], in_clean.get("", 0)
@@ -235,6 +241,7 @@ def _featured(frame: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
                 columns = [part.column(0), pa.array([probability(lexicon, x, y) for x, y, _ in f], pa.float64()), *(pa.array([x[k] for x in f], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.int64())))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(matched, pa.list_(pa.string()))], names=["key", "score", "heaviest", "normalised", "n_words", "matched"])
 
+    small_batches(frame)
     kind = frame.schema[key].dataType.simpleString()
     source = frame.select(F.col(key).alias("key"), "text")
     out = source.mapInArrow(run, f"key {kind}, score double, heaviest double, normalised double, n_words long, matched array<string>")
@@ -256,4 +263,5 @@ def accept(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text
                 scores = [probability(lexicon, *features(lexicon, fold(t))[:2]) for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array([x < threshold for x in scores]))
 
+    small_batches(docs)
     return docs.mapInArrow(run, docs.schema)

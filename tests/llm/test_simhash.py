@@ -91,27 +91,14 @@ def test_similar_groups(spark):
     rows += [(200, None), (201, "  "), (202, "one"), (203, "ONE"), (204, "one two")]
     docs = clashing(documents(spark, rows))
     want = plain_groups(rows, 5, 0.8)
-    for tile in (simhash.WIDE_TILE, 20):
-        got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(docs, tile=tile).collect()}
+    for tile, family_tile in ((simhash.WIDE_TILE, simhash.FAMILY_TILE), (20, 8)):
+        got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(docs, tile=tile, family_tile=family_tile).collect()}
         assert got == want
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
-def test_rounds_after_the_first(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "ROUNDS", (0, 1, 2, None))
-    rng = random.Random(3)
-    text = [f"v{rng.randrange(500)}" for _ in range(150)]
-    rows = []
-    for i in range(40):
-        ws = list(text)
-        ws[rng.randrange(150)] = f"n{i}"
-        rows.append((i, " ".join(ws)))
-    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(documents(spark, rows)).collect()}
-    assert got == plain_groups(rows, 5, 0.8)
-
-
 def test_popcount_order_is_used():
     a = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 3000).astype(np.uint64))
     a = a[np.argsort(np.bitwise_count(a), kind="stable")]

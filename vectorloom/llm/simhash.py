@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.bpe import slices
 from vectorloom.llm.components import components, local_stars
-from vectorloom.llm.shared import materialize, maybe_broadcast, shuffle_parts
+from vectorloom.llm.shared import materialize, maybe_broadcast, shuffle_parts, small_batches
 
 SEED = 42
 BITS = 64
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
                 columns += [pa.array(size, pa.int64()), pa.array(held, pa.binary())] if sets else []
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "size", "hashes"][: len(columns)])
 
+    small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {kind}, fp long" + (", size long, hashes binary" if sets else ""))
@@ -236,8 +237,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
 #: Documents at the similarity of 0.8 differ in about 19 of 128 bits, others in 64; the radius is over three deviations from both.
 WIDE_RADIUS = 32
 WIDE_TILE = 32_768
-#: Nominations of a document by rounds: the nearest ones first, all in the last. Those in its group already are passed over.
-ROUNDS = (0, 8, 64, 512, None)
+#: Rows of a family that are compared in one task with their texts at hand.
+FAMILY_TILE = 512
 
 
 def wide_hashes(text: str | None, k: int) -> np.ndarray:
@@ -263,91 +264,137 @@ def _wide(rows: DataFrame, k: int) -> DataFrame:
                 planes = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *planes, pa.array(size, pa.int64())], names=["row", "id", "mark", "f0", "f1", "size"])
 
+    small_batches(rows)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("row", "id", "mark", "text").mapInArrow(run, f"row long, id {kind}, mark long, f0 long, f1 long, size long")
 
 
-def _nominate(nodes: DataFrame, radius: int, similarity: float, low: int, high: int | None, tile: int) -> DataFrame:
-    """(a, b): for each open row a its low-th to high-th nearest rows b within the radius, of other groups; b null: there are more."""
+def _wide_pairs(x: dict, y: dict, radius: int, similarity: float, same: bool):
+    """(i, j, distance) in blocks for rows within the radius whose sizes allow the similarity; if same, x is y and i < j.
+
+    x and y hold f0, f1 and size, sorted by the population count of f0."""
+    for i in range(0, len(x["f0"]), SUB_TILE):
+        own = {c: v[i : i + SUB_TILE] for c, v in x.items()}
+        low, high = int(np.bitwise_count(own["f0"][0])), int(np.bitwise_count(own["f0"][-1]))
+        for j in range(i if same else 0, len(y["f0"]), SUB_TILE):
+            other = {c: v[j : j + SUB_TILE] for c, v in y.items()}
+            if int(np.bitwise_count(other["f0"][0])) - high > radius or low - int(np.bitwise_count(other["f0"][-1])) > radius:
+                continue
+            d = np.bitwise_count(own["f0"][:, None] ^ other["f0"][None, :])
+            d += np.bitwise_count(own["f1"][:, None] ^ other["f1"][None, :])
+            p, q = np.nonzero(np.triu(d <= radius, 1) if same and i == j else d <= radius)
+            if len(p):
+                a, b = own["size"][p], other["size"][q]
+                ok = np.minimum(a, b) >= similarity * np.maximum(a, b)
+                yield p[ok] + i, q[ok] + j, d[p[ok], q[ok]]
+
+
+def _columns(table: pa.Table, on: np.ndarray, names: tuple[str, ...] = ("row", "size", "f0", "f1")) -> tuple[dict, np.ndarray]:
+    """The rows of a mask, sorted by the population count of f0, and their positions in the table."""
+    at = np.flatnonzero(on)
+    got = {c: table[c].to_numpy()[at] for c in names}
+    got |= {c: got[c].view(np.uint64) for c in ("f0", "f1")}
+    order = np.argsort(np.bitwise_count(got["f0"]), kind="stable")
+    return {c: v[order] for c, v in got.items()}, at[order]
+
+
+def _families(nodes: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
+    """(u, v): star links that connect all rows that are nominated as similar."""
 
     def compare(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy(zero_copy_only=False) == "a"
-        get = lambda c, on: table[c].to_numpy()[on]
-        parts = []
-        for on in (side, ~side):
-            order = np.lexsort((get("row", on), np.bitwise_count(get("f0", on).view(np.uint64))))
-            parts.append({c: get(c, on)[order] for c in ("row", "size", "root")} | {c: get(c, on)[order].view(np.uint64) for c in ("f0", "f1")} | {"open": table["open"].to_numpy(zero_copy_only=False)[on][order]})
-        x, same = parts[0], not len(parts[1]["row"])
-        y = x if same else parts[1]
-        found_a, found_b, more = [], [], []
-        for i in range(0, len(x["row"]), SUB_TILE):
-            own = {c: v[i : i + SUB_TILE] for c, v in x.items()}
-            ps, qs, ds = [], [], []
-            for j in range(i if same else 0, len(y["row"]), SUB_TILE):
-                other = {c: v[j : j + SUB_TILE] for c, v in y.items()}
-                # The first plane alone: sub-tiles are sorted by its population count.
-                if abs_gap(own["f0"], other["f0"]) > radius:
-                    continue
-                d = np.bitwise_count(own["f0"][:, None] ^ other["f0"][None, :])
-                d += np.bitwise_count(own["f1"][:, None] ^ other["f1"][None, :])
-                near = d <= radius
-                near &= own["open"][:, None] | other["open"][None, :]
-                p, q = np.nonzero(np.triu(near, 1) if same and i == j else near)
-                if len(p):
-                    a, b = own["size"][p], other["size"][q]
-                    ok = np.minimum(a, b) >= similarity * np.maximum(a, b)
-                    ps.append(p[ok])
-                    qs.append(q[ok] + j)
-                    ds.append(d[p[ok], q[ok]])
-            if not ps:
+        (x, _), (y, _) = _columns(table, side), _columns(table, ~side)
+        same = not len(y["row"])
+        rows = x["row"] if same else np.concatenate([x["row"], y["row"]])
+        ps, qs, held = [], [], 0
+        for p, q, _ in _wide_pairs(x, x if same else y, radius, similarity, same):
+            ps.append(p)
+            qs.append(q if same else q + len(x["row"]))
+            held += len(p)
+            if held > 2_000_000:  # pairs shrink to stars before they grow with the square of a group
+                root = local_stars(len(rows), np.concatenate(ps), np.concatenate(qs))
+                own = np.flatnonzero(root != np.arange(len(rows)))
+                ps, qs, held = [own], [root[own]], len(own)
+        u, v = _star_links(rows, ps, qs) if ps else (rows[:0], rows[:0])
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    dealt = tile_pairs(nodes, [], "class", 1, tile, ["row", "f0", "f1", "size"])
+    return dealt.groupBy("ca", "qa", "cb", "qb").applyInArrow(compare, "u long, v long")
+
+
+def _sure_links(table: pa.Table, side: np.ndarray, k: int, radius: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that connect the rows of a table (row, f0, f1, size, text) whose shingle sets are similar: within side a if it
+    is all, else between its two sides. Nearest pairs come first, and pairs that are connected already are passed over."""
+    (x, at_x), (y, at_y) = _columns(table, side), _columns(table, ~side)
+    same = not len(at_y)
+    blocks = list(_wide_pairs(x, x if same else y, radius, similarity, same))
+    if not blocks:
+        return [], []
+    p, q, d = (np.concatenate(c) for c in zip(*blocks, strict=True))
+    order = np.lexsort((q, p, d))
+    left, right = at_x[p[order]].tolist(), (at_x if same else at_y)[q[order]].tolist()
+    rows, up, sets, u, v = table["row"].to_pylist(), list(range(table.num_rows)), {}, [], []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def of(i: int) -> set[bytes]:
+        if i not in sets:
+            sets[i] = _shingle_set(table["text"][i].as_py(), k)
+        return sets[i]
+
+    for i, j in zip(left, right, strict=True):
+        a, b = root(i), root(j)
+        if a != b:
+            s, t = of(i), of(j)
+            common = len(s & t)
+            if (not s and not t) or common >= similarity * (len(s) + len(t) - common) > 0:
+                up[a] = b
+                u.append(rows[i])
+                v.append(rows[j])
+    return u, v
+
+
+def _verified(members: DataFrame, k: int, radius: int, similarity: float, family_tile: int) -> DataFrame:
+    """(u, v): links by shingle sets inside the families of members (family, row, f0, f1, size, class, text)."""
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(sizes.where(F.col("n") > family_tile).select("family"), "similar-large")
+    parts = shuffle_parts(members.sparkSession)
+
+    def runs(batches):
+        """Whole families, in batches that are sorted by family; the last one waits for the next batch."""
+        rest = None
+        for batch in _with_end(batches):
+            part = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if part is None or not part.num_rows:
                 continue
-            p, q, d = np.concatenate(ps), np.concatenate(qs), np.concatenate(ds)
-            order = np.lexsort((y["row"][q], d, p))
-            p, q = p[order], q[order]
-            rank = np.arange(len(p)) - np.searchsorted(p, p)
-            apart = own["root"][p] != y["root"][q]
-            if high is not None:
-                more.append(np.unique(own["row"][p[(rank >= high) & apart]]))
-            take = (rank >= low) & apart if high is None else (rank >= low) & (rank < high) & apart
-            found_a.append(own["row"][p[take]])
-            found_b.append(y["row"][q[take]])
-        join = lambda arrays: np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-        a, b, rest = join(found_a), join(found_b), join(more)
-        return pa.table({"a": pa.array(np.concatenate([a, rest])), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(rest), pa.int64())])})
-
-    dealt = tile_pairs(nodes, [], "class", 1, tile, ["row", "f0", "f1", "size", "root", "open"])
-    return dealt.groupBy("ca", "qa", "cb", "qb").applyInArrow(compare, "a long, b long")
-
-
-def abs_gap(a: np.ndarray, b: np.ndarray) -> int:
-    """The least difference of population counts between two arrays that are sorted by it."""
-    low_a, high_a = int(np.bitwise_count(a[0])), int(np.bitwise_count(a[-1]))
-    low_b, high_b = int(np.bitwise_count(b[0])), int(np.bitwise_count(b[-1]))
-    return max(0, low_a - high_b, low_b - high_a)
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the Jaccard similarity, of texts (row, text)."""
-
-    def run(batches):
-        before, left = None, None
-        for batch in batches:
+            family = part["family"].to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(family)) + 1).tolist(), len(family)]
+            if batch is not None:
+                rest, bounds = part.slice(bounds[-2]), bounds[:-1]
             u, v = [], []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if a != before:
-                    before, left = a, _shingle_set(x, k)
-                right = _shingle_set(y, k)
-                common = len(left & right)
-                if (not left and not right) or common >= similarity * (len(left) + len(right) - common) > 0:
-                    u.append(a)
-                    v.append(b)
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                own = _sure_links(part.slice(a, b - a), np.ones(b - a, bool), k, radius, similarity)
+                u += own[0]
+                v += own[1]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
-    # Hashed by the pair, so that a document with very many partners is no task's alone.
-    dealt = both.select("a", "b", "ta", "tb").repartition(shuffle_parts(pairs.sparkSession), "a", "b").sortWithinPartitions("a")
-    return dealt.mapInArrow(run, "u long, v long")
+    def pair(table: pa.Table) -> pa.Table:
+        u, v = _sure_links(table, table["side"].to_numpy(zero_copy_only=False) == "a", k, radius, similarity)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    some = not large.isEmpty()
+    small = members.join(maybe_broadcast(large), "family", "left_anti") if some else members
+    small = small.select("family", "row", "f0", "f1", "size", "text")
+    found = small.repartition(parts, "family").sortWithinPartitions("family").mapInArrow(runs, "u long, v long")
+    if some:
+        big = members.join(maybe_broadcast(large), "family")
+        dealt = tile_pairs(big, ["family"], "class", 1, family_tile, ["row", "f0", "f1", "size", "text"])
+        found = found.unionByName(dealt.groupBy("family", "ca", "qa", "cb", "qb").applyInArrow(pair, "u long, v long"))
+    return found
 
 
 def _shingle_set(text: str | None, k: int) -> set[bytes]:
@@ -356,39 +403,28 @@ def _shingle_set(text: str | None, k: int) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, tile: int = WIDE_TILE) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, tile: int = WIDE_TILE, family_tile: int = FAMILY_TILE) -> DataFrame:
     """id, mark (xxhash64 of the text), group_id, stays for every distinct (id, text): groups of documents linked by similarity.
 
-    The document with the smallest id of a group stays (null ids last, then the smallest mark). Repeated rows of one id
-    and text are one document here. Blank texts are alike."""
+    Wide fingerprints within the radius nominate documents, which fall into families (components of nominations); shingle
+    sets decide inside a family. The document with the smallest id of a group stays (null ids last, then the smallest
+    mark). Repeated rows of one id and text are one document here. Blank texts are alike."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    known = materialize(rows.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).select("id", "mark", F.monotonically_increasing_id().alias("row")), "similar-rows")
-    numbered = lambda wanted: rows.join(wanted, (rows["id"].eqNullSafe(wanted["wid"])) & (rows["mark"] == wanted["wmark"])).select("row", "id", "mark", "text")
-    own = known.select(F.col("id").alias("wid"), F.col("mark").alias("wmark"), "row")
-    made = _wide(rows.select(F.lit(0).cast("long").alias("row"), "id", "mark", "text"), k).drop("row")
-    made = made.join(own, (made["id"].eqNullSafe(own["wid"])) & (made["mark"] == own["wmark"])).select("row", "id", "mark", "f0", "f1", "size").dropDuplicates(["row"])
+    made = materialize(_wide(rows.withColumn("row", F.lit(0).cast("long")), k).drop("row"), "similar-fingerprints")
     klass = F.when(F.col("size") == 0, -9).otherwise(F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9)).cast("int")
-    nodes = materialize(made.withColumn("class", klass), "similar-nodes")
-
-    root, open_ = nodes.select("row", F.col("row").alias("root")), nodes.select("row", F.lit(True).alias("open"))
-    links = None
-    for low, high in zip(ROUNDS, ROUNDS[1:], strict=False):
-        state = nodes.join(root, "row").join(open_, "row", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        found = materialize(_nominate(state, radius, similarity, low, high, tile), "similar-nominated")
-        pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if not pairs.isEmpty():
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-            texts = materialize(numbered(maybe_broadcast(own.join(wanted, "row", "left_semi"))).dropDuplicates(["row"]).select("row", "text"), "similar-texts")
-            sure = materialize(_verify(pairs, texts, k, similarity), "similar-links")
-            links = sure if links is None else links.unionByName(sure)
-            roots = components(links, "similar")
-            root = materialize(nodes.select("row").join(roots, F.col("row") == F.col("node"), "left").select("row", F.coalesce("root", "row").alias("root")), "similar-roots")
-        rest = found.where("b is null").select(F.col("a").alias("row")).distinct()
-        if rest.isEmpty():
-            break
-        open_ = rest.withColumn("open", F.lit(True))
-    grouped = nodes.join(root, "row")
+    nodes = made.dropDuplicates(["id", "mark"]).withColumn("row", F.monotonically_increasing_id()).withColumn("class", klass)
+    nodes = materialize(nodes, "similar-nodes")
+
+    family = components(materialize(_families(nodes, radius, similarity, tile), "similar-nominated"), "similar-family")
+    members = materialize(nodes.join(family.select(F.col("node").alias("row"), F.col("root").alias("family")), "row"), "similar-members")
+    wanted = members.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "family", "row", "f0", "f1", "size", "class")
+    same = rows["id"].eqNullSafe(F.col("__id")) & (rows["mark"] == F.col("__mark"))
+    texts = rows.join(maybe_broadcast(wanted), same).select("family", "row", "f0", "f1", "size", "class", "text").dropDuplicates(["row"])
+    texts = materialize(texts, "similar-texts")
+    roots = components(materialize(_verified(texts, k, radius, similarity, family_tile), "similar-links"), "similar")
+
+    grouped = nodes.join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "row")).alias("first"))
     return grouped.join(first, "root").select(F.col("id").alias(id_col), "mark", F.col("first.id").alias("group_id"), (F.col("row") == F.col("first.row")).alias("stays"))
 

@@ -517,7 +517,15 @@ def _fast(spark, sf_dir) -> DataFrame:
     return field(spark, sf_dir).where("speed >= 8").withColumn("id", cell)
 
 
-@query()
+@query(
+    f"""with recursive {FIELD}, p as (select frame, x, y, speed, cast(frame * 1000000000 + x * 100000 + y as bigint) as id from f where speed >= 8),
+    n as (select a.id as a, b.id as b from p a join p b on a.frame = b.frame and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.speed - b.speed) * (a.speed - b.speed) <= 2304.0),
+    core as (select a as id from n group by a having count(*) >= 9), e as (select a, b from n where a in (select id from core) and b in (select id from core)),
+    reach(a, b) as (select id, id from core union select reach.a, e.b from reach join e on reach.b = e.a), r as (select a as id, min(b) as root from reach group by a),
+    l as (select * from r union all select n.a, min(r.root) from n join r on n.b = r.id where n.a not in (select id from core) group by n.a),
+    k as (select root, row_number() over (partition by frame order by root) - 1 as k from (select distinct root from r) join p on p.id = root)
+    select frame, x, y, cast(coalesce(k, -1) as integer) as cluster from p left join l using (id) left join k using (root)"""
+)
 def dbscan_labels(spark, sf_dir):
     return dbscan.dbscan(_fast(spark, sf_dir), ["x", "y", "speed"], 48.0, 9).select(*KEY, "cluster")
 

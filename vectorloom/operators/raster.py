@@ -33,7 +33,8 @@ def nearest_distance(field: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("points"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy")
     )
     side = F.greatest(F.sqrt(F.col("dx") * F.col("dy") / F.col("points")), F.greatest("dx", "dy") / F.col("points"))
-    box = box.select("frame", "points", "x0", "y0", side.alias("bin"))
+    # Half as wide again as a regular grid's spacing: such a grid is settled in the first round.
+    box = box.select("frame", "points", "x0", "y0", (1.5 * side).alias("bin"))
     held = materialize(points.join(box, "frame"), "nearest-points")
     done = held.where("n > 1 or points = 1").select("frame", "x", "y", "n", F.when(F.col("n") > 1, 0.0).alias("distance"))
     open_, scale = held.where("n = 1 and points > 1"), 1.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.gaussian import digamma, log_gaussian
 from vectorloom.operators import dbscan, features, mixture, pca, summary
+from vectorloom.plans import registry
 from vectorloom.sources import synthetic
 
 
@@ -127,3 +128,16 @@ def test_dbscan_border_and_nulls(spark):
     df = spark.createDataFrame([(1, k, x, 0.0) for k, x in rows if k != 3] + [(1, 3, 3.0, 0.0)], "frame long, id long, a double, b double")
     got = {r["id"]: r["cluster"] for r in dbscan.dbscan(df, ["a", "b"], 1.0, 3).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: -1}
+
+
+def test_density_queries_take_the_whole_field(spark, sf_dir):
+    frames = {}
+    for r in sorted(registry.field(spark, sf_dir).collect(), key=lambda r: (r["frame"], r["x"], r["y"])):
+        frames.setdefault(r["frame"], []).append((r["x"], r["y"], r["speed"]))
+    labels = {(r["frame"], r["x"], r["y"]): r["cluster"] for r in registry.queries()["dbscan_field_labels"](spark, sf_dir).collect()}
+    flags = {(r["frame"], r["x"], r["y"]): (r["degree"], r["core"]) for r in registry.queries()["dbscan_field_core_flags"](spark, sf_dir).collect()}
+    assert len(labels) == len(flags) == sum(map(len, frames.values()))
+    for frame, pts in frames.items():
+        assert [labels[frame, x, y] for x, y, _ in pts] == plain_dbscan(pts, 48.0, 9)
+        degree = [sum(math.dist(p, q) <= 48.0 for q in pts) for p in pts]
+        assert [flags[frame, x, y] for x, y, _ in pts] == [(d, d >= 9) for d in degree]

@@ -512,9 +512,13 @@ def dbscan_core_flags(spark, sf_dir):
     return dbscan.core_flags(_fast(spark, sf_dir), ["x", "y", "speed"], 48.0, 9).join(_fast(spark, sf_dir).select("id", "x", "y"), "id").select(*KEY, "degree", "core")
 
 
-def _fast(spark, sf_dir) -> DataFrame:
+def _cells(spark, sf_dir) -> DataFrame:
     cell = (F.col("frame") * 1_000_000_000 + F.col("x") * 100_000 + F.col("y")).cast("long")
-    return field(spark, sf_dir).where("speed >= 8").withColumn("id", cell)
+    return field(spark, sf_dir).withColumn("id", cell)
+
+
+def _fast(spark, sf_dir) -> DataFrame:
+    return _cells(spark, sf_dir).where("speed >= 8")
 
 
 @query(
@@ -530,6 +534,19 @@ def dbscan_labels(spark, sf_dir):
     return dbscan.dbscan(_fast(spark, sf_dir), ["x", "y", "speed"], 48.0, 9).select(*KEY, "cluster")
 
 
+@query(f"with {FIELD} select frame, x, y, degree, degree >= 9 as core from (select a.frame, a.x, a.y, count(*) as degree from f a join f b on a.frame = b.frame and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.speed - b.speed) * (a.speed - b.speed) <= 2304.0 group by 1, 2, 3)")
+def dbscan_field_core_flags(spark, sf_dir):
+    """The flags of every cell; dbscan_core_flags has those of its SQL's cells, of speed 8 and more."""
+    cells = _cells(spark, sf_dir)
+    return dbscan.core_flags(cells, ["x", "y", "speed"], 48.0, 9).join(cells.select("id", "x", "y"), "id").select(*KEY, "degree", "core")
+
+
+@query()
+def dbscan_field_labels(spark, sf_dir):
+    """The labels of every cell. Recursive SQL is too slow for whole tables; the tests compare with a plain version."""
+    return dbscan.dbscan(_cells(spark, sf_dir), ["x", "y", "speed"], 48.0, 9).select(*KEY, "cluster")
+
+
 # --- evaluation -------------------------------------------------------------------------------------------------------
 @query("with t as (select l_returnflag as a, l_linestatus as b, count(*)::double as n from lineitem group by 1, 2), s as (select sum(n * (n - 1) / 2) as c, sum(n) as n from t), r as (select sum(n * (n - 1) / 2) as r from (select sum(n) as n from t group by a)), k as (select sum(n * (n - 1) / 2) as k from (select sum(n) as n from t group by b)) select round((c - r * k / (n * (n - 1) / 2)) / ((r + k) / 2 - r * k / (n * (n - 1) / 2)), 6) + 0.0 as adjusted_rand from s, r, k")
 def adjusted_rand(spark, sf_dir):

@@ -141,3 +141,12 @@ def test_density_queries_take_the_whole_field(spark, sf_dir):
         assert [labels[frame, x, y] for x, y, _ in pts] == plain_dbscan(pts, 48.0, 9)
         degree = [sum(math.dist(p, q) <= 48.0 for q in pts) for p in pts]
         assert [flags[frame, x, y] for x, y, _ in pts] == [(d, d >= 9) for d in degree]
+
+
+@pytest.mark.parametrize("name", ["gmm_fit", "vbgmm_fit"])
+def test_fits_take_the_whole_field(spark, sf_dir, name):
+    want = {r["frame"]: r["count"] for r in registry.field(spark, sf_dir).groupBy("frame").count().collect()}
+    got = {}
+    for r in registry.queries()[name](spark, sf_dir).collect():
+        got[r["frame"]] = got.get(r["frame"], 0) + r["count"]
+    assert got == want

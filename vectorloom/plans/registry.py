@@ -468,11 +468,12 @@ def hard_assign(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir, gamma):
+    """One mixture of the whole field, all frames pooled, each scaled by itself; clusters are numbered in each frame."""
     scaled = features.standardize(_angled(spark, sf_dir), ["speed", "angle_deg"])
     columns = ["speed_scaled", "angle_deg_scaled"]
-    one = scaled.where("frame = 1995")
-    made = mixture.fit(one, columns, 4, 30, gamma)
-    return postprocess.relabel(mixture.predict(one, made, columns))
+    own = Clustering()
+    made = mixture.fit(scaled, columns, own.n_components, own.max_iter, gamma)
+    return postprocess.relabel(mixture.predict(scaled, made, columns))
 
 
 @query()

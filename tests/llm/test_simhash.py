@@ -104,3 +104,26 @@ def test_popcount_order_is_used():
     a = a[np.argsort(np.bitwise_count(a), kind="stable")]
     found = {(int(i), int(j)) for p, q in simhash.near_pairs(a, a, 18, True) for i, j in zip(p, q)}
     assert found == {(i, j) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i] ^ a[i + 1 :]) <= 18) + i + 1}
+
+
+def test_small_sets_are_nominated_exactly(spark):
+    """Pairs of similarity 0.8 and a little more, whose fingerprints are often outside the radius."""
+    rng, rows = random.Random(11), []
+    for n in [8] * 400 + [9, 12, 18, 19, 20, 23, 40, 60, 67] * 20:
+        ws = [f"x{rng.getrandbits(40)}" for _ in range(n)]
+        rows += [(2 * len(rows), " ".join(ws)), (2 * len(rows) + 1, " ".join([*ws, *(f"y{rng.getrandbits(40)}" for _ in range(max(1, (n - 4) // 4)))]))]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(documents(spark, rows)).collect()}
+    for (a, s), (b, t) in zip(rows[::2], rows[1::2], strict=True):
+        want = plain_groups([(a, s), (b, t)], 5, 0.8)
+        assert {a: got[a], b: got[b]} == want == {a: a, b: a}
+
+
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(5)
+    for n in range(1, simhash.EXACT_SIZE + 1):
+        for m in range(n, int(n / 0.8 + 1e-9) + 1):
+            least = -(-4 * (n + m) // 9)  # the overlap at which the similarity is 0.8
+            for _ in range(40):
+                h = rng.integers(0, 1 << 63, n + m - least).astype(np.uint64)
+                a, b = simhash.exact_keys(h[:n], 0.8), simhash.exact_keys(h[n - least :], 0.8)
+                assert set(a.tolist()) & set(b.tolist()), (n, m)

@@ -16,6 +16,9 @@ input are not read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -232,10 +235,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     return own.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
-# Groups of similar documents: wide fingerprints nominate pairs, shingle sets decide.
+# Groups of similar documents: keys of small sets and wide fingerprints nominate pairs, shingle sets decide.
 
-#: Documents at the similarity of 0.8 differ in about 19 of 128 bits, others in 64; the radius is over three deviations from both.
-WIDE_RADIUS = 32
+#: Documents at the similarity of 0.8 differ in about 19 of 128 bits, others in 64; the radius is over four deviations from both.
+WIDE_RADIUS = 36
+#: Pairs whose smaller set has at most so many shingles are all nominated, by keys; deviations of fingerprints are widest there.
+EXACT_SIZE = 64
 WIDE_TILE = 32_768
 #: Rows of a family that are compared in one task with their texts at hand.
 FAMILY_TILE = 512
@@ -251,22 +256,81 @@ def wide_hashes(text: str | None, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, shingles)), "<u8").reshape(-1, 2)
 
 
-def _wide(rows: DataFrame, k: int) -> DataFrame:
+def _class_of(size: int, similarity: float) -> int:
+    return math.floor(math.log(size) / math.log(1 / similarity) + 1e-9)
+
+
+@cache
+def _level(level: int, similarity: float) -> tuple[int, int, int]:
+    """Of the pairs whose smaller set is of a class: its largest size (0: the class has none), the most shingles in one set
+    alone, and the number of groups."""
+    most = math.floor((1 / similarity) ** (level + 1)) + 1
+    while most > 0 and _class_of(most, similarity) > level:
+        most -= 1
+    if most < 1 or _class_of(most, similarity) < level:
+        return 0, 0, 1
+    pair = most + math.floor(most / similarity + 1e-9)
+    differ = math.floor(pair * (1 - similarity) / (1 + similarity) + 1e-9)
+    return most, differ, differ + 1 + -(-differ // 8)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def exact_keys(h: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set of hashes: similar sets share one, if the smaller has at most EXACT_SIZE.
+
+    Shingles are dealt to more groups than differ between two similar sets, so some groups are alike, and a key is a group's
+    content. Empty groups make no key; a set with so many that all its like groups could be empty adds its shingles up to
+    the overlap's complement in the order of hashes, of which similar sets share one."""
+    n, keys = len(h), []
+    if not n:
+        return np.zeros(0, np.int64)
+    own = _class_of(n, similarity)
+    for level in (own - 1, own):
+        most, differ, groups = _level(level, similarity)
+        if level > _class_of(EXACT_SIZE, similarity) or not most or most < similarity * n - 1e-9:
+            continue
+        at = (h % np.uint64(groups)).astype(np.int64)
+        content = np.zeros(groups, np.uint64)
+        np.add.at(content, at, _mixed(h))
+        full = np.flatnonzero(np.bincount(at, minlength=groups))
+        salt = np.uint64(level + 1) << np.uint64(32)
+        keys.append(_mixed(content[full] + _mixed(salt + full.astype(np.uint64))))
+        if groups - len(full) >= groups - differ:
+            first = np.sort(h)[: n - math.ceil(similarity * n - 1e-9) + 1]
+            keys.append(_mixed(first + _mixed(salt + np.full(1, groups, np.uint64))))
+    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+
+
+def _key_links(nodes: DataFrame) -> DataFrame:
+    """(u, v): star links that connect the rows that share a key."""
+    keyed = nodes.select("row", F.explode("keys").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
+    first = materialize(first, "similar-keys")
+    return keyed.join(maybe_broadcast(first), "key").where("row <> least").select(F.col("row").alias("u"), F.col("least").alias("v")).distinct()
+
+
+def _wide(rows: DataFrame, k: int, similarity: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                f0, f1, size = [], [], []
+                f0, f1, size, keys = [], [], [], []
                 for text in part.column(3).to_pylist():
                     h = wide_hashes(text, k)
                     f0.append(fingerprint(h[:, 0]))
                     f1.append(fingerprint(h[:, 1]))
                     size.append(len(h))
+                    keys.append(exact_keys(h[:, 0], similarity))
                 planes = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *planes, pa.array(size, pa.int64())], names=["row", "id", "mark", "f0", "f1", "size"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *planes, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "id", "mark", "f0", "f1", "size", "keys"])
 
     small_batches(rows)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("row", "id", "mark", "text").mapInArrow(run, f"row long, id {kind}, mark long, f0 long, f1 long, size long")
+    return rows.select("row", "id", "mark", "text").mapInArrow(run, f"row long, id {kind}, mark long, f0 long, f1 long, size long, keys array<long>")
 
 
 def _wide_pairs(x: dict, y: dict, radius: int, similarity: float, same: bool):
@@ -327,10 +391,9 @@ def _sure_links(table: pa.Table, side: np.ndarray, k: int, radius: int, similari
     is all, else between its two sides. Nearest pairs come first, and pairs that are connected already are passed over."""
     (x, at_x), (y, at_y) = _columns(table, side), _columns(table, ~side)
     same = not len(at_y)
+    none = (np.zeros(0, np.int64),) * 3
     blocks = list(_wide_pairs(x, x if same else y, radius, similarity, same))
-    if not blocks:
-        return [], []
-    p, q, d = (np.concatenate(c) for c in zip(*blocks, strict=True))
+    p, q, d = (np.concatenate(c) for c in zip(none, *blocks, strict=True))
     order = np.lexsort((q, p, d))
     left, right = at_x[p[order]].tolist(), (at_x if same else at_y)[q[order]].tolist()
     rows, up, sets, u, v = table["row"].to_pylist(), list(range(table.num_rows)), {}, [], []
@@ -346,7 +409,7 @@ def _sure_links(table: pa.Table, side: np.ndarray, k: int, radius: int, similari
             sets[i] = _shingle_set(table["text"][i].as_py(), k)
         return sets[i]
 
-    for i, j in zip(left, right, strict=True):
+    def decide(i: int, j: int) -> None:
         a, b = root(i), root(j)
         if a != b:
             s, t = of(i), of(j)
@@ -355,6 +418,32 @@ def _sure_links(table: pa.Table, side: np.ndarray, k: int, radius: int, similari
                 up[a] = b
                 u.append(rows[i])
                 v.append(rows[j])
+
+    for i, j in zip(left, right, strict=True):
+        decide(i, j)
+
+    # Small sets at any distance: similar ones share one of their rarest shingles.
+    size = table["size"].to_numpy()
+    small = np.flatnonzero((size > 0) & (size <= EXACT_SIZE / similarity + 1e-9)).tolist()
+    if len({root(i) for i in small}) < 2:
+        return u, v
+    rows_with = Counter(w for i in small for w in of(i))
+    # Rows of the largest group are connected already: they meet only the others, so its size counts once, not squared.
+    held = Counter(root(i) for i in small).most_common(1)[0][0]
+    largest = {i for i in small if root(i) == held}
+    small.sort(key=lambda i: i in largest)
+    holders: dict[bytes, list[int]] = defaultdict(list)
+    for i in small:
+        n, tried = int(size[i]), set()
+        rare = sorted((w for w in of(i)), key=lambda w: (rows_with[w], w))
+        for w in rare[: n - math.ceil(similarity * n - 1e-9) + 1]:
+            if rows_with[w] > 1:
+                for j in holders[w]:
+                    if j not in tried and (same or side[i] != side[j]):
+                        tried.add(j)
+                        decide(i, j)
+                if i not in largest:
+                    holders[w].append(i)
     return u, v
 
 
@@ -406,17 +495,18 @@ def _shingle_set(text: str | None, k: int) -> set[bytes]:
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, tile: int = WIDE_TILE, family_tile: int = FAMILY_TILE) -> DataFrame:
     """id, mark (xxhash64 of the text), group_id, stays for every distinct (id, text): groups of documents linked by similarity.
 
-    Wide fingerprints within the radius nominate documents, which fall into families (components of nominations); shingle
-    sets decide inside a family. The document with the smallest id of a group stays (null ids last, then the smallest
+    Keys that similar sets share nominate documents of small sets, wide fingerprints within the radius all others; they fall
+    into families (components of nominations), and shingle sets decide inside a family. The document with the smallest id of a group stays (null ids last, then the smallest
     mark). Repeated rows of one id and text are one document here. Blank texts are alike."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    made = materialize(_wide(rows.withColumn("row", F.lit(0).cast("long")), k).drop("row"), "similar-fingerprints")
+    made = materialize(_wide(rows.withColumn("row", F.lit(0).cast("long")), k, similarity).drop("row"), "similar-fingerprints")
     klass = F.when(F.col("size") == 0, -9).otherwise(F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9)).cast("int")
     nodes = made.dropDuplicates(["id", "mark"]).withColumn("row", F.monotonically_increasing_id()).withColumn("class", klass)
     nodes = materialize(nodes, "similar-nodes")
 
-    family = components(materialize(_families(nodes, radius, similarity, tile), "similar-nominated"), "similar-family")
+    nominated = _families(nodes, radius, similarity, tile).unionByName(_key_links(nodes))
+    family = components(materialize(nominated, "similar-nominated"), "similar-family")
     members = materialize(nodes.join(family.select(F.col("node").alias("row"), F.col("root").alias("family")), "row"), "similar-members")
     wanted = members.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "family", "row", "f0", "f1", "size", "class")
     same = rows["id"].eqNullSafe(F.col("__id")) & (rows["mark"] == F.col("__mark"))

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from vectorloom.operators import filters, postprocess
 from vectorloom.plans import registry
 from vectorloom.sources import adapters, catalog
@@ -44,3 +46,19 @@ def test_label_cleaning_stays_on_the_jvm(spark, sf_dir):
     for df in (postprocess.remove_small_clusters(labelled, 5), postprocess.merge_clusters(labelled, 5.0), postprocess.smooth_labels(labelled, 3, unit=16.0)):
         text = plan(df)
         assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text
+
+
+def test_batch_fit_takes_the_settings_as_they_are(spark, sf_dir, monkeypatch):
+    from vectorloom.config import Settings
+    from vectorloom.plans import registry
+
+    class Taken(Exception):
+        pass
+
+    def run(tasks, field, settings, polygon, fit):
+        assert settings == Settings() and fit
+        raise Taken
+
+    monkeypatch.setattr(registry.batch, "run", run)
+    with pytest.raises(Taken):
+        registry.queries()["batch_fit"](spark, sf_dir)

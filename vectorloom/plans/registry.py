@@ -623,5 +623,5 @@ def batch_pipeline(spark, sf_dir):
 
 @query()
 def batch_fit(spark, sf_dir):
-    labelled, _ = _batch(spark, sf_dir, Settings(clustering=Clustering(n_components=4, max_iter=30)), fit=True)
+    labelled, _ = _batch(spark, sf_dir, Settings(), fit=True)
     return summary.cluster_stats(labelled)

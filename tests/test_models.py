@@ -150,3 +150,7 @@ def test_fits_take_the_whole_field(spark, sf_dir, name):
     for r in registry.queries()[name](spark, sf_dir).collect():
         got[r["frame"]] = got.get(r["frame"], 0) + r["count"]
     assert got == want
+
+
+def test_likelihood_grid_of_the_reference(spark, sf_dir):
+    assert registry.queries()["gmm_nll_grid_80"](spark, sf_dir).count() == 80 * 80

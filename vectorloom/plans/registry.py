@@ -459,6 +459,16 @@ def gmm_nll_grid(spark, sf_dir):
     return mixture.likelihood_grid(field(spark, sf_dir), FIXED, UV, ("u", "v"), 20).select("i", "j", r6("u"), r6("v"), r6("nll"))
 
 
+@query(
+    f"""with {FIELD}, b as (select floor(quantile_cont(u, 0.01)) as u0, ceil(quantile_cont(u, 0.99)) as u1, floor(quantile_cont(v, 0.01)) as v0, ceil(quantile_cont(v, 0.99)) as v1 from f),
+    g as (select cast(i as integer) as i, cast(j as integer) as j, u0 + j * ((u1 - u0) / 79) as u, v0 + i * ((v1 - v0) / 79) as v from b, range(80) as ri(i), range(80) as rj(j)), t as (select *, {TERMS} from g)
+    select i, j, {s6('u')}, {s6('v')}, {s6(f'-({LSE})', 'nll')} from t"""
+)
+def gmm_nll_grid_80(spark, sf_dir):
+    """The reference's 80 x 80 grid; gmm_nll_grid has the 20 x 20 of its SQL."""
+    return mixture.likelihood_grid(field(spark, sf_dir), FIXED, UV, ("u", "v")).select("i", "j", r6("u"), r6("v"), r6("nll"))
+
+
 HARD = ([0.5, 0.25, 0.25], [[0.0, 0.0], [4.0, 1.0], [-3.0, 2.0]], [[2.0, 2.0], [4.0, 1.0], [1.0, 3.0]])
 
 

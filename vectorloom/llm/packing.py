@@ -1,14 +1,16 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm.
 
 Documents are cut only if they are longer than a sequence. Pieces that fill a sequence are one; the others are dealt
-into shards of bounded size by a hash of a unique row number. In each shard several islands evolve packings: a packing
-is a grouping of pieces into bins; crossover injects the well-filled bins of one parent whole into the other, removes
-the bins of the other that hold a piece twice, and best-fits the displaced pieces, largest first. After each epoch
-every island receives the elite of its neighbour (a ring). The best island's packing is the shard's. A shard loses less
-than one bin against packing everything together, and its size does not grow with the input.
+into shards of bounded size by a hash of a unique row number. In each shard several islands evolve packings, each from
+orders of its own: a packing is a grouping of pieces into bins; crossover injects well-filled bins of one parent whole
+into the other, removes the bins of the other that hold a piece twice, and best-fits the displaced pieces, largest
+first. After each epoch every island receives the elite of its neighbour (a ring). The best island's packing is the
+shard's. An island stops at the least number of bins that any packing could have (the sum of sizes over the capacity).
+A shard loses less than one bin against packing everything together, and its size does not grow with the input.
 
 Defined results: a null text counts as empty: a document of one end id. Every row is packed, repeated rows each for
-themselves. Null ids are carried. An empty table gives no rows. Other columns of the input are not read.
+themselves. Null ids are carried. An empty table gives no rows. Other columns of the input are not read; `pack` keeps
+all columns that it is given.
 """
 
 from __future__ import annotations
@@ -22,62 +24,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm import word_bpe
-from vectorloom.llm.bpe import slices
-from vectorloom.llm.shared import materialize, small_batches
+from vectorloom.llm.shared import materialize, shuffle_parts, small_batches
 
 SHARD_PIECES = 16_384
 ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 6
+EPOCHS = 4
+GENERATIONS = 12
 POPULATION = 4
+#: Shards and islands are dealt to tasks of about so many.
+TASK_ISLANDS = 32
 
 
-def pieces(docs: DataFrame, path: str, length: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """id, piece, start, length, ids_crc32, ids (binary): the pieces of every document. Narrow: no shuffle."""
+def pieces(docs: DataFrame, path: str, length: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+    """id, piece, start, length, ids_crc32 and, if asked for, ids (binary): the pieces of every document. Narrow: no shuffle."""
 
     def run(batches):
         codec = word_bpe.encoder(path)
-        end = np.uint32(end_id).tobytes()
-        width = 4 * length
         for batch in batches:
-            for part in slices(batch):
-                docs_at, piece, start, size, crc, held = [], [], [], [], [], []
-                for at, text in enumerate(part.column(1).to_pylist()):
-                    ids = codec.encode(text) + end
-                    for k in range(0, len(ids), width):
-                        cut = ids[k : k + width]
-                        docs_at.append(at)
-                        piece.append(k // width)
-                        start.append(k // 4)
-                        size.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                        held.append(cut)
-                columns = [part.column(0).take(pa.array(docs_at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(held, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", "ids"])
+            ids, ends = codec.encode(batch.column(1))
+            ids = np.insert(ids, ends, end_id).astype("<u4")
+            sizes = np.diff(ends, prepend=0) + 1
+            parts = -(-sizes // length)
+            owner = np.repeat(np.arange(len(sizes)), parts)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * length
+            size = np.minimum(sizes[owner] - start, length)
+            first = (np.cumsum(sizes) - sizes)[owner] + start
+            cuts = [ids[a:b] for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
+            columns += [pa.array([x.tobytes() for x in cuts], pa.binary())] if with_ids else []
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 class Packer:
-    """Packings of one list of sizes. A packing is a list of bins, a bin a tuple of item numbers."""
+    """Packings of one list of sizes. A packing is a list of bins, a bin a pair of its fill and its item numbers."""
 
     def __init__(self, sizes: list[int], capacity: int, seed: int):
         self.sizes, self.capacity = sizes, capacity
+        self.bound = -(-sum(sizes) // capacity)  # no packing has fewer bins
         self.rng = random.Random(seed)
+        self.crossed = 0
 
     def best_fit(self, bins: list[tuple], items: list[int]) -> list[tuple]:
         """Each item, in the given order, goes to the fullest bin that holds it; at a tie to the latest."""
         sizes, capacity = self.sizes, self.capacity
-        out = [list(b) for b in bins]
+        held = [b[1] for b in bins]
         by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
         rooms = 0  # bit r: a bin with room r
-        for k, b in enumerate(out):
-            room = capacity - sum(sizes[i] for i in b)
-            by_room[room].append(k)
-            rooms |= 1 << room
+        for k, b in enumerate(bins):
+            by_room[capacity - b[0]].append(k)
+            rooms |= 1 << capacity - b[0]
         for i in items:
             size = sizes[i]
             fits = rooms >> size
@@ -86,116 +87,136 @@ class Packer:
                 k = by_room[room].pop()
                 if not by_room[room]:
                     rooms ^= 1 << room
-                out[k].append(i)
+                held[k] += (i,)
                 room -= size
             else:
-                k, room = len(out), capacity - size
-                out.append([i])
+                k, room = len(held), capacity - size
+                held.append((i,))
             by_room[room].append(k)
             rooms |= 1 << room
-        return [tuple(b) for b in out]
-
-    def fill(self, b: tuple) -> int:
-        return sum(self.sizes[i] for i in b)
+        return [(capacity - room, held[k]) for room, where in enumerate(by_room) for k in where]
 
     def fitness(self, bins: list[tuple]) -> tuple[int, float]:
         """Fewer bins are better; of as many, the more unevenly filled."""
-        return len(bins), -sum((self.fill(b) / self.capacity) ** 2 for b in bins)
+        return len(bins), -sum((b[0] / self.capacity) ** 2 for b in bins)
 
     def start(self, jitter: float) -> list[tuple]:
-        order = sorted(range(len(self.sizes)), key=lambda i: (-self.sizes[i] * (1 + jitter * self.rng.random()), i))
-        return self.best_fit([], order)
+        """Best fit by falling size, each size off by up to the jitter; 0: best-fit decreasing."""
+        return self.best_fit([], sorted(range(len(self.sizes)), key=lambda i: (-self.sizes[i] * (1 + jitter * self.rng.random()), i)))
 
     def cross(self, base: list[tuple], donor: list[tuple]) -> list[tuple]:
-        """Inject about half of the donor's fullest bins, drop the base's bins that share an item, best-fit the rest."""
-        fullest = sorted(donor, key=lambda b: (-self.fill(b), b))[: max(1, len(donor) // 2)]
+        """Inject most of the donor's fullest bins, drop the base's bins that share an item, best-fit the displaced."""
+        self.crossed += 1
+        fullest = sorted(donor, key=lambda b: (-b[0], b[1]))[: max(1, len(donor) // 2)]
         injected = [b for b in fullest if self.rng.random() < 0.6] or fullest[:1]
-        taken = {i for b in injected for i in b}
+        taken = {i for b in injected for i in b[1]}
         kept, displaced = [], []
         for b in base:
-            if taken.isdisjoint(b):
+            if taken.isdisjoint(b[1]):
                 kept.append(b)
             else:
-                displaced += [i for i in b if i not in taken]
-        # The emptiest bins are opened again, so that their items can fill others.
-        kept.sort(key=lambda b: (-self.fill(b), b))
-        opened = kept[len(kept) - len(kept) // 10 :]
-        displaced += [i for b in opened for i in b]
+                displaced += [i for i in b[1] if i not in taken]
+        # The emptiest bins, and a few others by lot, are opened again, so that their items can fill others.
+        kept.sort(key=lambda b: (-b[0], b[1]))
+        opened = max(1, len(kept) // 10)
+        stay, again = kept[:-opened], kept[-opened:]
+        again += [b for b in stay if b[0] < self.capacity and self.rng.random() < 0.1]
+        gone = {b[1] for b in again}
+        displaced += [i for b in again for i in b[1]]
         displaced.sort(key=lambda i: (-self.sizes[i], i))
-        return self.best_fit(injected + kept[: len(kept) - len(opened)], displaced)
+        return self.best_fit(injected + [b for b in stay if b[1] not in gone], displaced)
 
     def evolve(self, elites: list[list[tuple]], generations: int, population: int) -> list[tuple]:
-        bound = -(-sum(self.sizes) // self.capacity)
-        pool = list(elites) or [self.start(0.0)]
-        if min(map(len, pool)) <= bound:  # no packing has fewer bins
+        """The best packing after so many crossovers, or the first one that meets the bound."""
+        pool = list(elites)
+        if pool and min(map(len, pool)) <= self.bound:
             return min(pool, key=self.fitness)
-        while len(pool) < population:
-            pool.append(self.start(0.15))
+        while len(pool) < population:  # a new island's own orders, from nearly falling to random
+            pool.append(self.start(0.1 + 2 * self.rng.random()))
         pool.sort(key=self.fitness)
         for _ in range(generations):
-            if len(pool[0]) <= bound:
+            if len(pool[0]) <= self.bound:
                 break
-            child = self.cross(pool[0], pool[self.rng.randrange(1, len(pool))]) if self.rng.random() < 0.5 else self.cross(pool[self.rng.randrange(1, len(pool))], pool[0])
+            mate = pool[self.rng.randrange(1, len(pool))]
+            child = self.cross(pool[0], mate) if self.rng.random() < 0.5 else self.cross(mate, pool[0])
             pool = sorted([*pool, child], key=self.fitness)[:population]
         return pool[0]
 
 
-def _bins_of(labels: np.ndarray) -> list[tuple]:
+def _bins_of(labels: np.ndarray, sizes: np.ndarray) -> list[tuple]:
+    if not len(labels):
+        return []
     order = np.argsort(labels, kind="stable")
     cuts = np.flatnonzero(np.diff(labels[order])) + 1
-    return [tuple(x.tolist()) for x in np.split(order, cuts)] if len(labels) else []
+    fills = np.add.reduceat(sizes[order], np.append(0, cuts))
+    return [(fill, tuple(x.tolist())) for fill, x in zip(fills.tolist(), np.split(order, cuts), strict=True)]
+
+
+ISLAND = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("elite", pa.binary()), ("bins", pa.int64()), ("bound", pa.int64()), ("before", pa.int64()), ("crossed", pa.int64()), ("score", pa.float64())])
+ISLAND_DDL = "shard long, island int, elite binary, bins long, bound long, before long, crossed long, score double"
 
 
-def _evolve(frame: DataFrame, capacity: int, epoch: int, generations: int, population: int) -> DataFrame:
-    """One epoch of every island: sizes, and the elites that it starts from, to its best packing as a bin for each item."""
+def _epoch(frame: DataFrame, capacity: int, epoch: int, generations: int, population: int) -> DataFrame:
+    """One epoch of every island: from its sizes and the elites that it starts from to its best packing, as a bin for each
+    item; before is the least number of bins among the elites (in the first epoch: of one own start)."""
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                packer = Packer(r["sizes"], capacity, zlib.crc32(f"{r['shard']} {r['island']} {epoch}".encode()))
-                best = packer.evolve([_bins_of(np.frombuffer(e, "<u4")) for e in r["elites"] or []], generations, population)
-                labels = np.zeros(len(r["sizes"]), "<u4")
+            for at in range(batch.num_rows):
+                shard, island = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                sizes = batch.column(2)[at].values.to_numpy()
+                packer = Packer(sizes.tolist(), capacity, zlib.crc32(f"{shard} {island} {epoch}".encode()))
+                elites = [_bins_of(np.frombuffer(e, "<u4"), sizes) for e in batch.column(3)[at].as_py() or []] or [packer.start(2.0)]
+                best = packer.evolve(elites, generations, population)
+                labels = np.zeros(len(sizes), "<u4")
                 for k, b in enumerate(best):
-                    labels[list(b)] = k
-                r |= {"elite": labels.tobytes(), "bins": len(best), "score": packer.fitness(best)[1]}
-            names = ["shard", "island", "elite", "bins", "score"]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+                    labels[list(b[1])] = k
+                row = (shard, island, labels.tobytes(), len(best), packer.bound, min(map(len, elites)), packer.crossed, packer.fitness(best)[1])
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ISLAND, strict=True)], schema=ISLAND)
 
-    return frame.select("shard", "island", "sizes", "elites").mapInArrow(run, "shard long, island int, elite binary, bins long, score double")
+    return frame.select("shard", "island", "sizes", "elites").mapInArrow(run, ISLAND_DDL)
 
 
-def pack(cut: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
-    """cut's columns (it must have length, without ids) with sequence_id and offset. No length may exceed the capacity."""
-    names = cut.columns
-    held = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
-    full = held.where(F.col("length") == capacity)
-    rest = held.where(F.col("length") < capacity)
-    shards = max(1, -(-rest.count() // shard_pieces))
-    item = F.struct(F.col("length"), F.col("row"))
-    # A shard's list is bounded: rows are dealt by a hash of their unique number, shard_pieces to a shard.
-    groups = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).groupBy("shard").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    groups = materialize(groups, "packing-shards")
-    tasks = min(max(shards * islands, 1), 4096)
+def evolve_islands(groups: DataFrame, shards: int, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> list[DataFrame]:
+    """The table of all islands (columns of ISLAND) after each epoch, for groups (shard, items). Ends when every shard has met its bound."""
+    tasks = max(shuffle_parts(groups.sparkSession), -(-shards * islands // TASK_ISLANDS))
     world = groups.select("shard", F.col("items.length").alias("sizes"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
-    elites = None
+    held: list[DataFrame] = []
     for epoch in range(epochs):
         now = world.withColumn("elites", F.lit(None).cast("array<binary>"))
-        if elites is not None:
+        if held:
             # Migration on a ring: an island starts from its own elite and its neighbour's.
-            own = elites.select("shard", "island", F.col("elite").alias("own"))
-            near = elites.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("near"))
+            own = held[-1].select("shard", "island", F.col("elite").alias("own"))
+            near = held[-1].select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("near"))
             now = world.join(own, ["shard", "island"]).join(near, ["shard", "island"]).withColumn("elites", F.array("own", "near"))
-        elites = materialize(_evolve(now.repartition(tasks, "shard", "island"), capacity, epoch, generations, population), f"packing-epoch{epoch}")
-    best = elites.groupBy("shard").agg(F.min_by("elite", F.struct("bins", "score", "island")).alias("elite"))
+        held.append(materialize(_epoch(now.repartition(tasks, "shard", "island"), capacity, epoch, generations, population), f"packing-epoch{epoch}"))
+        if held[-1].groupBy("shard").agg(F.min(F.col("bins") - F.col("bound")).alias("over")).where("over > 0").isEmpty():
+            break
+    return held
+
+
+def shards_of(rest: DataFrame, shard_pieces: int = SHARD_PIECES) -> tuple[DataFrame, int]:
+    """(shard, items) of rows (length, __row), dealt by a hash of their unique number, and how many shards: a shard's list is bounded."""
+    shards = max(1, -(-rest.count() // shard_pieces))
+    item = F.struct(F.col("length"), F.col("__row"))
+    return rest.withColumn("shard", F.pmod(F.xxhash64("__row"), F.lit(shards))).groupBy("shard").agg(F.sort_array(F.collect_list(item)).alias("items")), shards
+
+
+def pack(cut: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES, **world) -> DataFrame:
+    """cut's columns (it must have length) with sequence_id and offset. No length may exceed the capacity. world: what evolve_islands takes."""
+    names = cut.columns
+    held = materialize(cut.withColumn("__row", F.monotonically_increasing_id()), "packing-pieces")
+    full = held.where(F.col("length") == capacity)
+    groups, shards = shards_of(held.where(F.col("length") < capacity).select("length", "__row"), shard_pieces)
+    groups = materialize(groups, "packing-shards")
+    best = evolve_islands(groups, shards, capacity, **world)[-1].groupBy("shard").agg(F.min_by("elite", F.struct("bins", "score", "island")).alias("elite"))
     placed = _place(groups.join(best, "shard"))
-    own_sequence = full.select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return held.join(placed.unionByName(own_sequence), "row").select(*names, "sequence_id", "offset")
+    own_sequence = full.select("__row", (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return held.join(placed.unionByName(own_sequence), "__row").select(*[F.col(f"`{c}`") for c in names], "sequence_id", "offset")
 
 
 def _place(frame: DataFrame) -> DataFrame:
-    """row, sequence_id, offset of every piece from its shard's packing."""
+    """__row, sequence_id, offset of every piece from its shard's packing."""
 
     def run(batches):
         for batch in batches:
@@ -207,6 +228,6 @@ def _place(frame: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.diff(labels[order], prepend=-1))
                 base = np.repeat(ends[first] - sizes[order][first], np.diff(np.append(first, len(order))))
                 offset = ends - sizes[order] - base
-                yield pa.RecordBatch.from_arrays([pa.array(rows[order]), pa.array((batch.column(0)[at].as_py() << 32) + labels[order]), pa.array(offset)], names=["row", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[order]), pa.array((batch.column(0)[at].as_py() << 32) + labels[order]), pa.array(offset)], names=["__row", "sequence_id", "offset"])
 
-    return frame.select("shard", "items", "elite").mapInArrow(run, "row long, sequence_id long, offset long")
+    return frame.select("shard", "items", "elite").mapInArrow(run, "__row long, sequence_id long, offset long")

@@ -66,7 +66,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 2048)
-    return packing.pack(cut.drop("ids"), 2048).withColumnRenamed("id", "doc_id")
+    return packing.pack(cut, 2048).withColumnRenamed("id", "doc_id")
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

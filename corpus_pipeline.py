@@ -49,7 +49,7 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     cut = packing.pieces(docs, str(public_tokenizers.path("word_bpe_49k.json")), SEQUENCE)
-    return packing.pack(cut.drop("ids"), SEQUENCE).withColumnRenamed("id", "doc_id")
+    return packing.pack(cut, SEQUENCE).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -62,3 +62,38 @@ def test_batch_fit_takes_the_settings_as_they_are(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(registry.batch, "run", run)
     with pytest.raises(Taken):
         registry.queries()["batch_fit"](spark, sf_dir)
+
+
+def test_a_hub_is_split_over_tasks(spark, tmp_path, monkeypatch):
+    from vectorloom import storage
+    from vectorloom.operators import graph
+
+    spark.range(40_000).selectExpr("case when id % 4 = 0 then id else 7 end as u", "id + 1000000 as v").where("u <> v").write.parquet(str(tmp_path / "e"))
+    edges = spark.read.parquet(str(tmp_path / "e"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    monkeypatch.setattr(storage, "BROADCAST_LIMIT_BYTES", 0)
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = graph._small_star(edges.selectExpr("case when v % 4 = 0 then v else 100000000 end as u", "v - 1000000 as v"), "hub")
+        out.collect()
+        assert "skew=true" in plan(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    roots = {r["node"]: r["root"] for r in graph.components(edges, "hub").collect()}
+    assert roots[1_000_001] == 7 and roots[1_000_004] == 4 and len(set(roots.values())) == 10_000 + 1
+
+
+def test_bytes_of_a_table(spark):
+    from vectorloom import storage
+
+    df = spark.createDataFrame([(1, "x" * 1000, [1, 2, 3], ["y" * 500], None)], "a long, b string, c array<long>, d array<string>, e string")
+    assert 1500 < storage.table_bytes(df) < 1800
+    assert storage.table_bytes(df.limit(0)) == 0

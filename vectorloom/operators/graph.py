@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014), as DataFrame joins.
 
-Each round is written to the shared folder, so lineage stays short and lost executors cost one round. The smallest
-neighbour of a vertex is found with map-side combining, and the join that hands it out has no aggregate above it on
-the same key, so a vertex with very many edges can be split by skew handling. No edge reaches the driver.
+The smallest neighbour of each vertex is found with map-side combining and written to the shared folder, one row a vertex,
+before the join that hands it out: so both sides of that join are plain shuffles, and a vertex with very many edges is
+split over tasks by adaptive skew handling. Each step is written too, so lineage stays short and lost executors cost one
+step. Rounds end when all edges are stars, which is checked exactly. No edge reaches the driver.
 
 Defined results: self links and null ends are ignored; repeated links count once; no links give no rows.
 """
@@ -13,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.storage import materialize
+from vectorloom.storage import materialize, maybe_broadcast
 
 
 def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,34 +36,36 @@ def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _hand_out(edges: DataFrame, least: DataFrame, name: str) -> DataFrame:
+    """edges with m, what least (u, m: a row for each u) says of their u."""
+    return edges.join(maybe_broadcast(materialize(least, f"{name}-least")), "u")
+
+
+def _large_star(edges: DataFrame, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _hand_out(both.where("v > u"), least, name).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, name: str) -> DataFrame:
+    """Of edges with u > v."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+    moved = edges.join(maybe_broadcast(least), "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _sum(edges: DataFrame) -> tuple:
-    n = F.count(F.lit(1)), F.sum((F.xxhash64("u", "v") % (1 << 31)).cast("long"))
-    return tuple(edges.agg(*n).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex has one edge to a smaller one, which has none itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest member of the component of every end of the edges (u, v)."""
     now = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(now, f"{name}-edges")
-    before = _sum(now)
-    while before[0]:
-        now = materialize(_small_star(_large_star(now)), f"{name}-round")
-        after = _sum(now)
-        if after == before:
-            break
-        before = after
+    while not _are_stars(now):
+        large = materialize(_large_star(now, name), f"{name}-large")
+        now = materialize(_small_star(large, name), f"{name}-round")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

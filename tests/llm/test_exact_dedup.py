@@ -55,14 +55,39 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_directory_doubling():
-    depth, slots = exact_dedup.double_directory({0: 5, 1: 5, 2: 1, 3: 1, 15: 40}, 4, 6)
-    assert depth == 4 and len(slots) == 16
+def test_directory_doubling(spark):
+    counts = {0: 5, 1: 5, 2: 1, 3: 1, 15: 40}  # distinct keys by their leading four bits
+    keys = [((p << 60) + i) - (1 << 64 if p >> 3 else 0) for p, n in counts.items() for i in range(n)]
+    depth, slots = exact_dedup.directory(spark.createDataFrame([(k,) for k in keys for _ in range(3)], "h long"), 6)
+    rows = slots.collect()
+    bucket = {r["slot"]: r["bucket"] for r in rows}
+    assert len(bucket) == len(rows) and max(bucket) < 1 << depth
     held = defaultdict(int)
-    for prefix, n in {0: 5, 1: 5, 2: 1, 3: 1, 15: 40}.items():
-        held[slots[prefix]] += n
-    assert all(n <= 6 for b, n in held.items() if b != slots[15])
-    for b in set(slots):  # a bucket owns one range of slots
-        own = [i for i, s in enumerate(slots) if s == b]
-        assert own == list(range(own[0], own[-1] + 1))
-    assert exact_dedup.double_directory({}, 4, 6) == (0, [0])
+    for k in keys:
+        held[bucket[(k % (1 << 64)) >> (64 - depth)]] += 1
+    full = bucket[(15 << 60) >> (64 - depth)]
+    assert sum(held.values()) == len(keys) and held[full] == 40  # its keys have all counted bits in common
+    assert all(n <= 6 for b, n in held.items() if b != full)
+    depths = {r["bucket"]: r["depth"] for r in rows}
+    for b, d in depths.items():  # a bucket owns one range of slots, and no shallower one would do
+        own = sorted(s for s in bucket if bucket[s] == b)
+        assert own == list(range(b, b + (1 << depth - d)))
+        if d:
+            parent = (b >> depth - d) >> 1
+            assert sum((k % (1 << 64)) >> (64 - d + 1) == parent for k in keys) > 6
+    assert exact_dedup.directory(spark.createDataFrame([], "h long"), 6)[0] == 0
+
+
+@pytest.mark.parametrize("wrong", ["slot", "bucket"])
+def test_results_come_through_the_directory(spark, monkeypatch, wrong):
+    right = exact_dedup.directory
+
+    def broken(keys, capacity):
+        depth, slots = right(keys, capacity)
+        if wrong == "slot":  # half of the directory is lost
+            return depth, slots.where("slot % 2 = 0")
+        return depth, slots.unionByName(slots.withColumn("bucket", F.col("bucket") + 1))  # two owners for each key
+
+    monkeypatch.setattr(exact_dedup, "directory", broken)
+    out = exact_dedup.dedup(documents(spark, ROWS), capacity=1).collect()
+    assert len(out) != len(ROWS)

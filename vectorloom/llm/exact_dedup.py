@@ -1,11 +1,13 @@
 """Exact dedup over an extendible-hash index on shared files, in DataFrame functions only.
 
-Each text's 64-bit hash is its key. A directory over the leading bits of the keys starts with one bucket and doubles
-while a bucket holds more than its capacity; a bucket owns a contiguous range of keys. Owner tasks (one bucket each)
-write the index: an entry for each key and digest, chained under its key, with the row that stays. Keys that occur more
-than once have their texts compared byte by byte; texts that differ under one chain entry are told apart by their bytes.
-Rows then probe the index. Only hashes are shuffled, apart from the texts of repeated keys, which are combined on the
-map side first, so a group of any number of copies is one row for each task.
+Each text's 64-bit hash is its key. The directory starts with one bucket and doubles, by one more leading bit of the
+keys, while a bucket holds more than its capacity of distinct keys; only overfull buckets split, so a bucket owns one
+range of keys and as many slots as its depth leaves it. The directory is a table of slots, however large. Every row finds
+its bucket through its key's slot. Owner tasks take whole buckets: they chain the digests of each key, with the number of
+rows and the row that stays, and write that index; rows then probe it under their bucket and key and follow the chain to
+their digest. Keys that occur more than once have their texts compared byte by byte; texts that differ under one chain
+entry are told apart by their bytes. Only hashes are shuffled, apart from the texts of repeated keys, and copies are
+combined on the map side first, so a group of any number of copies is one row for each task.
 
 Defined results: a null text counts as empty; empty texts are equal. Of equal texts the largest id stays (null ids are
 the smallest); of repeated rows with that id exactly one stays. The group counts every row. Null ids are kept as nulls.
@@ -19,49 +21,42 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.shared import materialize, maybe_broadcast
+from vectorloom.llm.shared import materialize, maybe_broadcast, shuffle_parts
 
-DIRECTORY_BITS = 14
 BUCKET_KEYS = 16_384
+#: Whole buckets are dealt to owner tasks of about so many.
+OWNER_BUCKETS = 64
+#: Keys are counted by so many more leading bits than even buckets would need.
+SPARE_BITS = 4
 
 
-def double_directory(counts: dict[int, int], bits: int, capacity: int) -> tuple[int, list[int]]:
-    """(global depth, bucket of each directory slot). counts: keys by their leading bits.
-
-    A bucket over its capacity splits by one more bit, which doubles the directory when its depth is the global one;
-    at the last bit it stays as it is, with overflow pages."""
-    depth, slots, made = 0, [0], 1
-    local, held = {0: 0}, {0: sum(counts.values())}
-    first = {0: 0}
-    queue = [0]
-    by_prefix = [counts.get(i, 0) for i in range(1 << bits)]
-    sums = [0]
-    for n in by_prefix:
-        sums.append(sums[-1] + n)
-    while queue:
-        b = queue.pop()
-        if held[b] <= capacity or local[b] == bits:
-            continue
-        if local[b] == depth:
-            slots = [s for s in slots for _ in (0, 1)]
-            depth += 1
-            first = {k: v * 2 for k, v in first.items()}
-        local[b] += 1
-        span = 1 << (depth - local[b])
-        start, new = first[b], made
-        made += 1
-        local[new], first[new] = local[b], start + span
-        slots[start + span : start + 2 * span] = [new] * span
-        for k in (b, new):
-            width = 1 << (bits - local[k])
-            low = (first[k] >> (depth - local[k])) * width
-            held[k] = sums[low + width] - sums[low]
-            queue.append(k)
-    return depth, slots
+def directory(keys: DataFrame, capacity: int) -> tuple[int, DataFrame]:
+    """(global depth, a table of slot, bucket, depth) for the distinct values of column h.
+
+    A bucket is the leading bits of its keys, as many as its depth; it is numbered by its first slot. One that is over its
+    capacity at the last counted bit stays as it is, with overflow chains."""
+    counted = keys.groupBy("h").agg(F.lit(1).alias("n"))
+    bits = min(62, max(0, (keys.count() - 1) // capacity).bit_length() + SPARE_BITS)
+    prefixes = materialize(counted.groupBy(_leading(F.col("h"), bits).alias("prefix")).agg(F.sum("n").alias("n")), "dedup-prefixes")
+    # After d doublings the buckets are the prefixes of d bits.
+    doubled = prefixes.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits))))
+    doubled = doubled.groupBy("depth", F.expr(f"shiftright(prefix, {bits} - depth)").alias("prefix")).agg(F.sum("n").alias("n"))
+    doubled = materialize(doubled, "dedup-doublings")
+    overfull = doubled.where((F.col("n") > capacity) & (F.col("depth") < bits)).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+    split = doubled.withColumn("parent", F.shiftright("prefix", 1)).join(maybe_broadcast(overfull), ["depth", "parent"], "left_semi").unionByName(doubled.where("depth = 0").withColumn("parent", F.col("prefix")))
+    buckets = materialize(split.where((F.col("n") <= capacity) | (F.col("depth") == bits)).select("depth", "prefix"), "dedup-buckets")
+    depth = buckets.agg(F.max("depth")).first()[0] or 0
+    first = F.expr(f"shiftleft(prefix, {depth} - depth)")
+    last = F.expr(f"shiftleft(prefix + 1, {depth} - depth) - 1")
+    return depth, materialize(buckets.select(F.explode(F.sequence(first, last)).alias("slot"), first.alias("bucket"), "depth"), "dedup-directory")
+
+
+def _leading(h: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
 
 def _sha256(text: Column) -> Column:
-    return F.sha2(text, 256)
+    return F.unhex(F.sha2(text, 256))
 
 
 def dedup(
@@ -72,49 +67,46 @@ def dedup(
     key: Callable[[Column], Column] = F.xxhash64,
     digest: Callable[[Column], Column] = _sha256,
 ) -> DataFrame:
-    """id, keep_id, group_size, kept, digest for every row of docs."""
+    """id, keep_id, group_size, kept, digest (lower-case hex) for every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", key(F.col("text")).cast("long").alias("h"), digest(F.col("text")).alias("digest"))
     keys = materialize(rows.select("id", "h", "digest").withColumn("row", F.monotonically_increasing_id()), "dedup-keys")
 
-    entries = materialize(keys.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("stays")), "dedup-entries")
-
-    # Directory doubling: at most 2 ** DIRECTORY_BITS counts reach the driver, whatever the input.
-    prefix = F.shiftrightunsigned("h", 64 - DIRECTORY_BITS)
-    counts = {r["p"]: r["n"] for r in entries.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    capacity = max(capacity, sum(counts.values()) >> (DIRECTORY_BITS - 2))
-    depth, slots = double_directory(counts, DIRECTORY_BITS, capacity)
-    directory = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket long")
-    slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
-    owned = entries.withColumn("slot", slot).join(F.broadcast(directory), "slot").drop("slot")  # at most 2 ** DIRECTORY_BITS rows
-    buckets = max(slots) + 1
+    depth, slots = directory(keys.select("h"), capacity)
+    slots = slots.select("slot", "bucket")
+    routed = keys.withColumn("slot", _leading(F.col("h"), depth)).join(maybe_broadcast(slots), "slot").drop("slot")
 
-    # Owner tasks: each writes the buckets, and so the key ranges, that it owns.
-    index = materialize(owned.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket", "h", "digest"), "dedup-index", "bucket")
+    # Insertion: copies are combined before they move; then each bucket's owner chains its keys' digests.
+    entries = routed.groupBy("bucket", "h", "digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("stays"))
+    owners = max(shuffle_parts(spark), slots.select("bucket").distinct().count() // OWNER_BUCKETS)
+    owned = entries.repartition(owners, "bucket")
+    index = owned.groupBy("bucket", "h").agg(F.sort_array(F.collect_list(F.struct("digest", "n", "stays"))).alias("chain"))
+    index = materialize(index.sortWithinPartitions("bucket", "h"), "dedup-index")
 
     # Bytes are compared where a chain entry has more than one row.
-    again = maybe_broadcast(index.where("n > 1").select("h", "digest"))
+    repeated = index.where(F.exists("chain", lambda e: e.n > 1)).select("h", F.explode("chain").alias("entry")).where("entry.n > 1")
+    again = maybe_broadcast(repeated.select("h", F.col("entry.digest").alias("digest")))
     texts = rows.join(again, ["h", "digest"], "left_semi").groupBy("h", "digest", "text").agg(F.count(F.lit(1)).alias("n"))
     differ = materialize(texts.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h", "digest"), "dedup-differ")
 
     out = ["id", "keep_id", "group_size", "kept", "digest"]
     clash = not differ.isEmpty()
-    probing = keys.join(differ, ["h", "digest"], "left_anti") if clash else keys
-    found = probing.join(index.select("h", "digest", "n", "stays"), ["h", "digest"])
-    found = found.select("id", F.col("stays.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("stays.row")).alias("kept"), "digest")
+    probing = routed.join(differ, ["h", "digest"], "left_anti") if clash else routed
+    found = probing.join(index, ["bucket", "h"]).withColumn("entry", F.filter("chain", lambda e: e.digest == F.col("digest"))[0])
+    found = found.select("id", F.col("entry.stays.id").alias("keep_id"), F.col("entry.n").alias("group_size"), (F.col("row") == F.col("entry.stays.row")).alias("kept"), "digest")
     if clash:
         same = Window.partitionBy("h", "digest", "text")
         split = rows.join(differ, ["h", "digest"], "left_semi").withColumns(
             {"group_size": F.count(F.lit(1)).over(same), "keep_id": F.max("id").over(same), "kept": F.row_number().over(same.orderBy(F.col("id").desc_nulls_last())) == 1}
         )
         found = found.select(*out).unionByName(split.select(*out))
-    return found.select(F.col("id").alias(id_col), *out[1:])
+    return found.select(F.col("id").alias(id_col), *out[1:-1], F.lower(F.hex("digest")).alias("digest"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each text, with all its columns."""
-    found = materialize(dedup(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), "kept"), "dedup-found")
+    found = materialize(dedup(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.unhex("digest").alias("__digest"), "kept"), "dedup-found")
     by_row = found.groupBy("__id", "__digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
     gone = by_row.where(~F.col("stays")).select("__id", "__digest")
     digest = _sha256(F.coalesce(F.col(text_col), F.lit("")))

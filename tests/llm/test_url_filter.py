@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import Forest
 from vectorloom.llm import url_filter as U
 
@@ -68,3 +70,43 @@ def test_components_against_plain_version(spark):
 def test_empty_table_and_repeated_rows(spark):
     assert U.judge(pages(spark, []), RULES).count() == 0
     assert U.judge(pages(spark, [(1, "http://x.net/", "y" * 100_000)] * 3), RULES).count() == 3
+
+
+REFERENCES = ["page2", "../x", "../../../x", "?id=1", "./", "..", "a/b/../c?d=../e", "/root", "//h.org/p", "http://k.net/z", "#part", "mailto:x@y", "", "x?y#z", "."]
+BASES = ["http://h.com/a/b/c?q=1", "https://h.com", "http://h.com/", "http://h.com/dir/", "http://h.com/file"]
+
+
+def test_relative_links_resolve(spark):
+    from urllib.parse import urljoin
+
+    rows = [(b, r) for b in BASES for r in REFERENCES]
+    got = spark.createDataFrame(rows, "url string, ref string").select("url", "ref", U.absolute(F.col("ref"), F.col("url")).alias("out")).collect()
+    for r in got:
+        if r["ref"] in ("", "mailto:x@y"):
+            assert r["out"] is None
+        elif r["ref"] == "#part":
+            assert r["out"] == r["url"]
+        else:
+            want = urljoin(r["url"], r["ref"])
+            assert r["out"] == (want.replace("https://h.org", "http://h.org")), (r["url"], r["ref"])
+    assert spark.createDataFrame([(None, "x"), ("no url", "x")], "url string, ref string").where(U.absolute(F.col("ref"), F.col("url")).isNotNull()).count() == 0
+
+
+def test_relative_links_and_refreshes_are_aliases(spark):
+    rows = [
+        (1, "http://a.com/d/1", "<link rel=canonical href=two>"),
+        (2, "http://a.com/d/two", '<link rel="canonical" href="http://b.com/"><meta http-equiv=refresh content="0;url=../&#x62;?x=1&amp;y=2">'),
+        (3, "http://b.com/", None),
+        (4, "http://a.com/b?x=1&y=2", "<link rel=canonical href='http:&sol;&#47;bad.net/q'>"),
+        (5, "http://a.com/b", None),
+    ]
+    got = {k: v[3] for k, v in result(U.judge(pages(spark, rows), RULES)).items()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_rules_of_one_length(spark):
+    # At a tie of lengths the longer host wins, then allow.
+    rules = [("block", "a.net", "/x"), ("allow", "net", "/x/y"), ("block", "b.org", "/"), ("allow", "b.org", "/")]
+    rows = [(1, "http://a.net/x/y", None), (2, "http://b.org/", None), (None, "http://a.net/x", None)]
+    got = result(U.judge(pages(spark, rows), rules))
+    assert got[1][2:] == ("a.net/x", "block") and got[2][3] == "allow" and got[None][3] == "block"

@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     roots = components(materialize(links(nodes, radius, tile), "simhash-links"), "simhash")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")  # first, so that large components split
+    named = rooted.join(maybe_broadcast(least), "root").select("fp", "component_id")
     return own.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,52 +1,52 @@
 """Language-model scores by a Brown class-based bigram model.
 
-Tokens are the words (without ASCII white space, A-Z lower-cased), then one end. Counts of every word come from all
-training documents: blocks of documents send their distinct words to the owners of word ranges, which add them up and
-answer each block with its words' counts. Words are clustered through units: a frequent word is a unit of its own, every
-other word (seen or not) belongs to the unit of its ending. The exchange algorithm moves units between classes while the
-likelihood of the training bigrams rises; the bigram counts of all training documents are gathered for it in a table
-whose size is bounded by the number of units. A text's score is the sum over its tokens of
+Tokens are the words (without ASCII white space, A-Z lower-cased), then one end. Every training document is counted, word
+by word, into a written table. Words whose share of the training tokens is at least RATE are clustered: a number that the
+rate bounds, whatever the input, and nearly all tokens. Clusters start from the exchange algorithm, which moves the most
+frequent words (seeds) one by one between classes while the likelihood of the training bigrams rises. Then, in sweeps over
+the corpus, every clustered word's neighbours are counted by class, and the owner of a range of words moves each word to
+the class that raises the likelihood most against the classes as they were before the sweep. All other words, seen or
+not, are one class, RARE. A text's score is the sum over its tokens of
 
     log10 P(class | previous class) + log10 P(word | class)
 
-with transitions smoothed towards the classes' shares and emissions by ALPHA for each word of the class and one unseen.
+with transitions smoothed towards the classes' shares, emissions by ALPHA for each word of a class, and the share of RARE
+that unseen words get being that of words seen once. Where words seen once are clustered, they count for RARE's
+transitions too, as unseen words turn up where they do. Clustered words' counts travel to the scoring workers; the few
+other tokens meet the table of counts in a join, one row for each document and word.
 
 Defined results: a null text counts as empty: one end. Without training documents counts are 0, and so is the base
-score. Words never seen have their ending's class. Null ids are carried. Repeated rows count, and are scored, each.
-An empty table gives no rows. Other columns of the input are not read. Every text is read whole.
+score. Null ids are carried. Repeated rows count, and are scored, each. An empty table gives no rows. Other columns of the
+input are not read. Every text is read whole. At a tie a word takes the lowest class; a word that follows itself counts
+as next to its class as it was.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.piece_cache import PieceCache
-from vectorloom.llm.shared import block_count, materialize, small_batches
+from vectorloom.llm.shared import materialize, small_batches
+from vectorloom.llm.varints import pack_gaps, unpack_gaps
 
-BLOCK_BYTES = 6 << 20
 CLASSES = 32
-HEAD_UNITS = 768
-ENDING_UNITS = 255
-ENDING_BYTES = 3
+#: Words are clustered from this share of the training tokens on: at most 1 / RATE words, fewer than a tenth of that in texts.
+RATE = 1e-7
+SEEDS = 1000
 SWEEPS = 12
+WORD_SWEEPS = 2
 ALPHA = 0.1
 BETA = 10.0
-MARKS = b".,;:!?\"'()[]{}*#&%$|-_"
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def ending(word: bytes) -> bytes:
-    return word.strip(MARKS)[-ENDING_BYTES:]
+#: Tokens that are counted together before their counts leave a worker, and words of one owner.
+FLUSH_TOKENS = 4_000_000
+SPAN = 4096
+SEED_SPAN = 64
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
@@ -99,183 +99,307 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return label[:n]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, one after the other; how many each has)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty word
+    if real.all():
+        return flat, sizes
+    doc = np.repeat(np.arange(len(sizes)), sizes)[real]
+    return flat.filter(pa.array(real)), np.bincount(doc, minlength=len(sizes))
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """word, n of all training texts (column text)."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in _with_end(batches):
+            if batch is not None:
+                held.append(split(batch.column(0))[0])
+                size += len(held[-1])
+            if size and (batch is None or size >= FLUSH_TOKENS):
+                found = pa.chunked_array(held).value_counts()
+                for at in range(0, len(found), 20_000):
+                    yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip(found[at : at + 20_000].flatten(), (pa.string(), pa.int64()), strict=True)], names=["word", "n"])
+                held, size = [], 0
+
+    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """The clustered words by falling count, with their counts. Workers keep the look-up table of the last one."""
+
+    key: str
+    words: bytes
+    counts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """(the number of each word of all texts, len(self) if it is not clustered; how many words each text has; the words)."""
+        flat, sizes = split(texts)
+        found = flat.dictionary_encode()
+        known = _table_of(self)
+        of = np.fromiter((known.get(w, len(self)) for w in found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+        return of[found.indices.to_numpy()], sizes, found
+
+
+_kept: tuple[str, dict] = ("", {})
+
+
+def _table_of(v: Vocabulary) -> dict[str, int]:
+    global _kept
+    if _kept[0] != v.key:
+        _kept = "", {}
+        _kept = v.key, {w: k for k, w in enumerate(v.words.decode().split("\n"))} if len(v) else {}
+    return _kept[1]
+
+
+def _line(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """All texts in one line, with the end before, between and after them."""
+    return np.concatenate([[end], np.insert(ids, np.cumsum(sizes), end)])
+
+
+NEAR = "slice long, keys binary, counts binary, cell long, n long"
+
+
+def _neighbours(rows: DataFrame, v: Vocabulary, code: np.ndarray, k: int, words: int, span: int, pairs: bool) -> DataFrame:
+    """Counts of what stands before and after the first so many words, by the neighbours' codes: rows of a slice of span words,
+    with word * 2k + code for what stands before and word * 2k + k + code for what stands after. If asked for: rows of a cell
+    a * k + b with how often code b follows code a. code: of every word, of all other words, and of the end; below k.
+
+    Words that occur once count in the cells a second time, as other words."""
+    once = np.append(v.counts == 1, [False, False])
+    other = code[len(v)]
+
+    def flush(keys: list):
+        found, n = np.unique(np.concatenate(keys), return_counts=True)
+        part = found // (2 * k * span)
+        bounds = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            own = int(part[a])
+            yield (own, pack_gaps(found[a:b] - own * 2 * k * span), pack_gaps(np.cumsum(n[a:b])), None, None)
+
+    def run(batches):
+        held, size, cells = [], 0, np.zeros(k * k if pairs else 0, np.int64)
+        for batch in _with_end(batches):
+            rows = []
+            if batch is not None:
+                ids, sizes, _ = v.ids(batch.column(0))
+                line = _line(ids, sizes, len(v) + 1)
+                codes = code[line]
+                if pairs:
+                    cells += np.bincount(codes[:-1] * k + codes[1:], minlength=k * k)
+                    at = np.flatnonzero(once[line])
+                    cells += np.bincount(codes[at - 1] * k + other, minlength=k * k) + np.bincount(other * k + codes[at + 1], minlength=k * k)
+                at = np.flatnonzero(line < words)
+                held += [line[at] * (2 * k) + codes[at - 1], line[at] * (2 * k) + k + codes[at + 1]]
+                size += len(at)
+            if size and (batch is None or size >= FLUSH_TOKENS):
+                rows += flush(held)
+                held, size = [], 0
+            if batch is None:
+                rows += [(None, None, None, int(c), int(cells[c])) for c in np.flatnonzero(cells)]
+            for at in range(0, len(rows), 64):
+                columns = list(zip(*rows[at : at + 64], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["slice", "keys", "counts", "cell", "n"])
+
+    return rows.mapInArrow(run, NEAR)
+
+
+def _cells(near: DataFrame, k: int) -> np.ndarray:
+    found = near.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most k * k rows
+    table = np.zeros(k * k)
+    for r in found:
+        table[r["cell"]] = r["n"]
+    return table.reshape(k, k)
+
+
+def _merged(table: pa.Table, k: int, span: int) -> np.ndarray:
+    """(span, 2k): the counts of all rows of one slice."""
+    dense = np.zeros(span * 2 * k)
+    for keys, counts in zip(table["keys"], table["counts"], strict=True):
+        dense[unpack_gaps(keys.as_py()).astype(np.int64)] += np.diff(unpack_gaps(counts.as_py()).astype(np.int64), prepend=0)
+    return dense.reshape(span, 2 * k)
+
+
+def _seed_bigrams(rows: DataFrame, v: Vocabulary, seeds: int) -> np.ndarray:
+    """(seeds + 1, seeds + 1): how often one seed follows another; the last is the end."""
+    k = seeds + 2
+    code = np.full(len(v) + 2, seeds + 1)
+    code[:seeds], code[-1] = np.arange(seeds), seeds
+
+    def add(table: pa.Table) -> pa.Table:
+        dense = _merged(table, k, SEED_SPAN).ravel()
+        at = np.flatnonzero(dense)
+        return pa.table({"slice": table["slice"][:1], "keys": pa.array([pack_gaps(at)], pa.binary()), "counts": pa.array([pack_gaps(np.cumsum(dense[at]))], pa.binary())})
+
+    near = _neighbours(rows, v, code, k, seeds, SEED_SPAN, False).drop("cell", "n")
+    found = near.groupBy("slice").applyInArrow(add, "slice long, keys binary, counts binary").toArrow()  # at most seeds * 2k counts
+    out = np.zeros((seeds + 1, seeds + 1))
+    for r in range(found.num_rows):
+        part, first = found.slice(r, 1), found["slice"][r].as_py() * SEED_SPAN
+        dense = _merged(part, k, SEED_SPAN)[: max(0, seeds - first)]
+        out[first : first + len(dense), : seeds + 1] = dense[:, k : k + seeds + 1]
+        out[seeds, first : first + len(dense)] = dense[:, seeds]
+    return out
+
+
+def best_classes(right: np.ndarray, left: np.ndarray, own: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word that raises the likelihood most, all others staying as they are.
+
+    right, left: each word's counts by the class after and before it. own: its present class; classes + 1: none.
+    table: how often a class follows another. A word stays if no class is better than its own."""
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    after, before = table.sum(axis=1), table.sum(axis=0)
+    out = own.copy()
+    for at in range(0, len(own), 256):
+        r, m, a = right[at : at + 256], left[at : at + 256], own[at : at + 256]
+        rs, ms = r.sum(axis=1)[:, None], m.sum(axis=1)[:, None]
+        to, of = table[:classes], table.T[:classes]
+        gain = (f(to + r[:, None]) - f(to)).sum(axis=2) + (f(of + m[:, None]) - f(of)).sum(axis=2)
+        gain -= f(after[:classes] + rs) - f(after[:classes]) + f(before[:classes] + ms) - f(before[:classes])
+        has = np.flatnonzero(a < classes)
+        if len(has):
+            k = a[has]
+            less = lambda x, y: f(x) - f(np.maximum(x - y, 0))
+            gain[has, k] = less(table[k], r[has]).sum(axis=1) + less(table.T[k], m[has]).sum(axis=1) - less(after[k], rs[has, 0]) - less(before[k], ms[has, 0])
+        best = gain.argmax(axis=1)
+        stays = np.zeros(len(a), bool)
+        stays[has] = gain[has, best[has]] <= gain[has, a[has]] + 1e-9
+        out[at : at + 256] = np.where(stays, a, best)
+    return out
+
+
+def _sweep(rows: DataFrame, v: Vocabulary, label: np.ndarray, classes: int) -> np.ndarray:
+    """The class of every clustered word after all have been moved against the present classes."""
+    k = classes + 2
+    near = materialize(_neighbours(rows, v, np.append(label, [classes + 1, classes]), k, len(v), SPAN, True), "brown-neighbours")
+    table = _cells(near, k)
+
+    def move(rows_of: pa.Table) -> pa.Table:
+        first = rows_of["slice"][0].as_py() * SPAN
+        own = label[first : first + SPAN]
+        dense = _merged(rows_of, k, SPAN)[: len(own)]
+        new = best_classes(dense[:, k:], dense[:, :k], own, table, classes)
+        return pa.table({"slice": rows_of["slice"][:1], "label": pa.array([new.astype("<i4").tobytes()], pa.binary())})
+
+    out = label.copy()
+    moved = near.where("slice is not null").select("slice", "keys", "counts").groupBy("slice").applyInArrow(move, "slice long, label binary")
+    for r in moved.toLocalIterator():  # four bytes a clustered word
+        new = np.frombuffer(r["label"], "<i4")
+        out[r["slice"] * SPAN : r["slice"] * SPAN + len(new)] = new
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
-    """tokens, types: of the training documents, ends included. ends: training documents. units: unit of a frequent word
-    or, under its ending with a leading space, of other words. transition: log10. size, types_of: of each class."""
+    """tokens, types: of the training documents, ends included; ends: training documents. label: of every clustered word.
+    transition: log10, by class, then the end, then RARE. size, types_of: tokens and words of each class. rare: tokens of
+    words that aren't clustered; once: words seen once."""
 
+    vocabulary: Vocabulary
     tokens: int
     types: int
     ends: int
-    units: dict[bytes, int]
     label: np.ndarray
     transition: np.ndarray
     size: np.ndarray
     types_of: np.ndarray
+    rare: int
+    once: int
+
+    @property
+    def classes(self) -> int:
+        return len(self.size)
 
-    def unit(self, word: bytes) -> int:
-        found = self.units.get(word)
-        return self.units.get(b" " + ending(word), len(self.label) - 1) if found is None else found
+    @property
+    def unseen(self) -> float:
+        """The share of RARE that words never seen have together; each has it over once + 1."""
+        return (self.once + 1) / (self.rare + self.once + 1)
 
-    def emission(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        return np.log10((counts + ALPHA) / (self.size[classes] + ALPHA * (self.types_of[classes] + 1)))
+    def emission(self) -> np.ndarray:
+        """log10 P(word | class) of every clustered word."""
+        return np.log10((self.vocabulary.counts + ALPHA) / (self.size[self.label] + ALPHA * self.types_of[self.label]))
 
     def base(self, counts) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
 
-ASK = "block long, slice long, words binary, counts binary"
-TOLD = "block long, slice long, counts binary, word binary, tokens long, types long"
-_KINDS = {"block": pa.int64(), "slice": pa.int64(), "counts": pa.binary(), "word": pa.binary(), "tokens": pa.int64(), "types": pa.int64(), "words": pa.binary()}
-#: Rows of TOLD without a block: a range's most frequent words, its endings, and its totals.
-HEAD, ENDING, TOTAL = -1, -2, -3
-
-
-def _table(rows: list[tuple], names: str) -> pa.Table:
-    columns = [x.split()[0] for x in names.split(", ")]
-    values = list(zip(*rows, strict=True)) if rows else [()] * len(columns)
-    return pa.table({c: pa.array(v, _KINDS[c]) for c, v in zip(columns, values, strict=True)})
-
-
-def _by_slice(words: list[bytes], parts: int) -> list[list[int]]:
-    """Positions of the words, by the owner of each."""
-    out: list[list[int]] = [[] for _ in range(parts)]
-    for k, w in enumerate(words):
-        out[crc32(w) % parts].append(k)
-    return out
+def learn(rows: DataFrame, words: DataFrame, classes: int, rate: float = RATE, seeds: int = SEEDS, sweeps: int = WORD_SWEEPS) -> Model:
+    """The model of the training rows (columns train, text) with their counted words."""
+    total = words.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types"), F.sum((F.col("n") == 1).cast("long")).alias("once")).first()
+    text, ends = rows.where("train").select("text"), rows.where("train").count()
+    tokens, types = (total["tokens"] or 0) + ends, total["types"] + (ends > 0)
+    own = words.where(F.col("n") >= rate * tokens).orderBy(F.desc("n"), "word").toArrow()  # at most 1 / rate rows
+    counts = own["n"].to_numpy().astype(np.int64)
+    v = Vocabulary(uuid.uuid4().hex, "\n".join(own["word"].to_pylist()).encode(), counts)
+
+    label = np.full(len(v), classes + 1)
+    if len(v):
+        seeds = min(seeds, len(v))
+        label[:seeds] = exchange(_seed_bigrams(text, v, seeds), classes)
+        for _ in range(sweeps):
+            label = _sweep(text, v, label, classes)
+        label[label > classes] = 0  # without a sweep: not in reach of a seed
+    k = classes + 2
+    pairs = _cells(_neighbours(text, v, np.append(label, [classes + 1, classes]), k, 0, SPAN, True), k)
+    share = (pairs.sum(axis=0) + 1) / (pairs.sum() + k)
+    transition = np.log10((pairs + BETA * share) / (pairs.sum(axis=1, keepdims=True) + BETA))
+    size, types_of = np.bincount(label, counts, minlength=classes), np.bincount(label, minlength=classes)
+    return Model(v, tokens, types, ends, label, transition, size, types_of, int(tokens - ends - counts.sum()), total["once"] or 0)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, train: Column, block_bytes: int) -> tuple[DataFrame, int]:
+def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, rate: float = RATE) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs. train: which rows to learn from."""
     small_batches(docs)
-    blocks = block_count(docs, text_col, block_bytes)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.alias("train"))
-    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), max(1, round(blocks**0.75))
-
-
-def _word_counts(rows: DataFrame, parts: int) -> DataFrame:
-    """TOLD: to every block the training counts of its distinct words; and what the owners know of their words."""
-
-    def ask(table: pa.Table) -> pa.Table:
-        counts: dict[bytes, int] = {}
-        for text, train in zip(table["text"], table["train"].to_pylist(), strict=True):
-            weight = int(train)
-            for w in words_of(text.as_py()):
-                counts[w] = counts.get(w, 0) + weight
-        words = sorted(counts)
-        block = table["block"][0].as_py()
-        of = np.array([counts[w] for w in words], "<u4")
-        return _table([(block, k, b"\n".join([words[i] for i in own]), of[own].tobytes()) for k, own in enumerate(_by_slice(words, parts)) if own], ASK)
-
-    def tell(table: pa.Table) -> pa.Table:
-        total: dict[bytes, int] = {}
-        lists = [(b, w.split(b"\n"), np.frombuffer(c, "<u4").tolist()) for b, w, c in zip(table["block"].to_pylist(), table["words"].to_pylist(), table["counts"].to_pylist(), strict=True)]
-        for _, words, counts in lists:
-            for w, c in zip(words, counts, strict=True):
-                total[w] = total.get(w, 0) + c
-        part = table["slice"][0].as_py()
-        rows = [(b, part, np.fromiter(map(total.__getitem__, words), "<u8", len(words)).tobytes(), None, None, None) for b, words, _ in lists]
-        seen = [(c, w) for w, c in total.items() if c]
-        seen.sort(key=lambda x: (-x[0], x[1]))
-        rows += [(HEAD, part, None, w, c, 1) for c, w in seen[:HEAD_UNITS]]
-        endings: dict[bytes, list[int]] = {}
-        for c, w in seen:
-            e = endings.setdefault(ending(w), [0, 0])
-            e[0] += c
-            e[1] += 1
-        rows += [(ENDING, part, None, e, *x) for e, x in endings.items()]
-        rows.append((TOTAL, part, None, None, sum(c for c, _ in seen), len(seen)))
-        return _table(rows, TOLD)
-
-    return rows.groupBy("block").applyInArrow(ask, ASK).groupBy("slice").applyInArrow(tell, TOLD)
-
-
-def _bigrams(rows: DataFrame, units: dict[bytes, int], n: int) -> np.ndarray:
-    """How often unit v follows unit u in the training documents, the end being unit n and before every first word."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    words = materialize(_word_counts(rows.where("train").select("text")), "brown-words")
+    model = learn(rows, words, classes, rate)
+    v, end = model.vocabulary, classes
+    kind = docs.schema[id_col].dataType.simpleString()
+    ddl = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:string,times:long>>"
+    rare_type = pa.struct([("word", pa.string()), ("times", pa.int64())])
 
     def run(batches):
-        other = n - 1
-        unit = PieceCache(lambda w: units[w] if w in units else units.get(b" " + ending(w), other), 200_000, 100_000)
-        held = np.zeros((n + 1) * (n + 1), np.int64)
+        code = np.append(model.label, [classes + 1, end])
+        emission, base = np.append(model.emission(), 0.0), np.append(model.base(v.counts), 0.0)
+        end_base, end_known = float(model.base(np.float64(model.ends))), int(model.ends > 0)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                line = np.full(len(words) + 2, n, np.int64)
-                line[1:-1] = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
-                np.add.at(held, line[:-1] * (n + 1) + line[1:], 1)
-        cells = np.flatnonzero(held)
-        for at in range(0, len(cells), 50_000):
-            part = cells[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["cell", "n"])
-
-    counted = rows.where("train").select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()  # at most (units + 1) ** 2 rows
-    table = np.zeros((n + 1) * (n + 1), np.int64)
-    table[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return table.reshape(n + 1, n + 1)
-
-
-def _learn(rows: DataFrame, told: DataFrame, classes: int) -> Model:
-    total = told.where(F.col("block") == TOTAL).agg(F.sum("tokens"), F.sum("types")).first()
-    ends = rows.where("train").count()
-    tokens, types = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
-    head = told.where(F.col("block") == HEAD).select("word", "tokens").orderBy(F.desc("tokens"), "word").limit(HEAD_UNITS).collect()
-    endings = told.where(F.col("block") == ENDING).groupBy("word").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
-    endings = endings.orderBy(F.desc("tokens"), "word").limit(ENDING_UNITS).collect()
-    units = {bytes(r["word"]): k for k, r in enumerate(head)}
-    units |= {b" " + bytes(r["word"]): len(head) + k for k, r in enumerate(endings)}
-    n = len(units) + 1  # the last unit: words with any other ending
-    types_in = np.ones(n, np.int64)
-    types_in[len(head) : n - 1] = [r["types"] for r in endings]
-    for r in head:  # a frequent word is not one of its ending's unit
-        k = units.get(b" " + ending(bytes(r["word"])))
-        if k is not None:
-            types_in[k] -= 1
-    types_in[n - 1] = max(0, types - (ends > 0) - int(types_in[: n - 1].sum()))
-
-    bigrams = _bigrams(rows, units, n)
-    label = exchange(bigrams, classes)
-    one = np.zeros((n + 1, classes + 1))
-    one[np.arange(n + 1), np.append(label, classes)] = 1
-    pairs, size = one.T @ bigrams @ one, one.T @ bigrams.sum(axis=0)
-    share = (size + 1) / (size.sum() + classes + 1)
-    transition = np.log10((pairs + BETA * share) / (pairs.sum(axis=1, keepdims=True) + BETA))
-    return Model(tokens, types, ends, units, label, transition, size, one[:n].T @ types_in)
-
-
-def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs. train: which rows to learn from."""
-    rows, parts = _rows(docs, id_col, text_col, train, block_bytes)
-    told = materialize(_word_counts(rows, parts), "brown-counts")
-    model = _learn(rows, told, classes)
-    kind = docs.schema[id_col].dataType.simpleString()
-    out_ddl = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-
-    def finish(table: pa.Table, tell: pa.Table) -> pa.Table:
-        lists = [words_of(t.as_py()) for t in table["text"]]
-        words = sorted({w for x in lists for w in x})
-        counts = np.zeros(len(words), np.float64)
-        answers = dict(zip(tell["slice"].to_pylist(), tell["counts"].to_pylist(), strict=True))
-        for part, own in enumerate(_by_slice(words, parts)):
-            if own:
-                counts[own] = np.frombuffer(answers[part], "<u8")
-        of = np.fromiter((model.label[model.unit(w)] for w in words), np.int64, len(words))
-        base, emission, known = model.base(counts), model.emission(counts, of), counts > 0
-        end_base = float(model.base(np.float64(model.ends)))
-        index = {w: k for k, w in enumerate(words)}
-        n_tokens, n_known, base_sum, total = [], [], [], []
-        for x in lists:
-            k = np.fromiter(map(index.__getitem__, x), np.int64, len(x))
-            line = np.full(len(x) + 2, classes, np.int64)
-            line[1:-1] = of[k]
-            n_tokens.append(len(x) + 1)
-            n_known.append(int(known[k].sum()) + (model.ends > 0))
-            base_sum.append(math.fsum(base[k].tolist()) + end_base)
-            total.append(float(model.transition[line[:-1], line[1:]].sum() + emission[k].sum()))
-        held_out = [not t for t in table["train"].to_pylist()]
-        columns = [table["id"], pa.array(held_out), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_sum, pa.float64()), pa.array(total, pa.float64())]
-        return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    answers = told.where("block >= 0").select("block", "slice", "counts")
-    done = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, out_ddl)
+            ids, sizes, found = v.ids(batch.column(3))
+            n = len(sizes)
+            codes = code[_line(ids, sizes, len(v) + 1)]
+            first = np.cumsum(sizes + 1) - sizes - 1
+            steps = np.add.reduceat(model.transition[codes[:-1], codes[1:]], first)
+            doc = np.repeat(np.arange(n), sizes)
+            sums = [np.bincount(doc, x[ids], minlength=n) for x in (emission, base)]
+            known = np.bincount(doc[ids < len(v)], minlength=n)
+            # The words that aren't clustered, once for each document.
+            at = np.flatnonzero(ids == len(v))
+            which, times = np.unique(doc[at] * len(found.dictionary) + found.indices.to_numpy()[at], return_counts=True)
+            word = found.dictionary.take(pa.array(which % max(1, len(found.dictionary))))
+            offsets = np.searchsorted(which, np.arange(n + 1) * len(found.dictionary))
+            rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([word.cast(pa.string()), pa.array(times, pa.int64())], fields=list(rare_type)))
+            columns = [batch.column(0), batch.column(1), pc.invert(batch.column(2)), pa.array(sizes + 1, pa.int64()), pa.array(known + end_known, pa.int64()), pa.array(sums[1] + end_base), pa.array(steps + sums[0]), rare]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "train", "text")
+    part = materialize(numbered.mapInArrow(run, ddl), "brown-scores")
+    rest = part.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times").join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    unseen = model.unseen
+    base = F.log10((F.col("n") + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+    emission = F.when(F.col("n") > 0, F.log10(F.col("n") * (1 - unseen) / max(1, model.rare))).otherwise(float(np.log10(unseen / (model.once + 1))))
+    more = rest.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(base * F.col("times")).alias("more_base"), F.sum(emission * F.col("times")).alias("more"))
+    done = part.drop("rare").join(more, "row", "left").fillna(0, ["more_known", "more_base", "more"])
+    done = done.select("id", "held_out", "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("more_base")).alias("base_score"), (F.col("score") + F.col("more")).alias("score"))
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
-    return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
+    return done.withColumn("perplexity", perplexity).withColumnRenamed("id", id_col)

@@ -51,7 +51,7 @@ def learned(spark, rows, classes=4, **how):
 
 
 def names_of(model):
-    return model.vocabulary.words.decode().split("\n")
+    return model.vocabulary.words.to_pylist()
 
 
 @pytest.mark.parametrize("rate", [1e-7, 0.005])

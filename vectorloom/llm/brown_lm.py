@@ -23,7 +23,6 @@ as next to its class as it was.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +44,7 @@ ALPHA = 0.1
 BETA = 10.0
 #: Tokens that are counted together before their counts leave a worker, and words of one owner.
 FLUSH_TOKENS = 4_000_000
+GROUP_BYTES = 8 << 20
 SPAN = 4096
 SEED_SPAN = 64
 
@@ -135,10 +135,9 @@ def _with_end(batches):
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The clustered words by falling count, with their counts. Workers keep the look-up table of the last one."""
+    """The clustered words by falling count, with their counts."""
 
-    key: str
-    words: bytes
+    words: pa.Array
     counts: np.ndarray
 
     def __len__(self) -> int:
@@ -148,20 +147,21 @@ class Vocabulary:
         """(the number of each word of all texts, len(self) if it is not clustered; how many words each text has; the words)."""
         flat, sizes = split(texts)
         found = flat.dictionary_encode()
-        known = _table_of(self)
-        of = np.fromiter((known.get(w, len(self)) for w in found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+        of = pc.index_in(found.dictionary, value_set=self.words).fill_null(len(self)).to_numpy()
         return of[found.indices.to_numpy()], sizes, found
 
 
-_kept: tuple[str, dict] = ("", {})
-
-
-def _table_of(v: Vocabulary) -> dict[str, int]:
-    global _kept
-    if _kept[0] != v.key:
-        _kept = "", {}
-        _kept = v.key, {w: k for k, w in enumerate(v.words.decode().split("\n"))} if len(v) else {}
-    return _kept[1]
+def _grouped(batches):
+    """Batches put together up to GROUP_BYTES: looking words up has a cost for each call."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    rest = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+    yield from rest
 
 
 def _line(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
@@ -191,7 +191,7 @@ def _neighbours(rows: DataFrame, v: Vocabulary, code: np.ndarray, k: int, words:
 
     def run(batches):
         held, size, cells = [], 0, np.zeros(k * k if pairs else 0, np.int64)
-        for batch in _with_end(batches):
+        for batch in _with_end(_grouped(batches)):
             rows = []
             if batch is not None:
                 ids, sizes, _ = v.ids(batch.column(0))
@@ -202,7 +202,8 @@ def _neighbours(rows: DataFrame, v: Vocabulary, code: np.ndarray, k: int, words:
                     at = np.flatnonzero(once[line])
                     cells += np.bincount(codes[at - 1] * k + other, minlength=k * k) + np.bincount(other * k + codes[at + 1], minlength=k * k)
                 at = np.flatnonzero(line < words)
-                held += [line[at] * (2 * k) + codes[at - 1], line[at] * (2 * k) + k + codes[at + 1]]
+                first = line[at].astype(np.int64) * (2 * k)
+                held += [first + codes[at - 1], first + k + codes[at + 1]]
                 size += len(at)
             if size and (batch is None or size >= FLUSH_TOKENS):
                 rows += flush(held)
@@ -342,7 +343,7 @@ def learn(rows: DataFrame, words: DataFrame, classes: int, rate: float = RATE, s
     tokens, types = (total["tokens"] or 0) + ends, total["types"] + (ends > 0)
     own = words.where(F.col("n") >= rate * tokens).orderBy(F.desc("n"), "word").toArrow()  # at most 1 / rate rows
     counts = own["n"].to_numpy().astype(np.int64)
-    v = Vocabulary(uuid.uuid4().hex, "\n".join(own["word"].to_pylist()).encode(), counts)
+    v = Vocabulary(own["word"].combine_chunks().cast(pa.string()), counts)
 
     label = np.full(len(v), classes + 1)
     if len(v):
@@ -374,7 +375,7 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         code = np.append(model.label, [classes + 1, end])
         emission, base = np.append(model.emission(), 0.0), np.append(model.base(v.counts), 0.0)
         end_base, end_known = float(model.base(np.float64(model.ends))), int(model.ends > 0)
-        for batch in batches:
+        for batch in _grouped(batches):
             ids, sizes, found = v.ids(batch.column(3))
             n = len(sizes)
             codes = code[_line(ids, sizes, len(v) + 1)]

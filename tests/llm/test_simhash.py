@@ -48,7 +48,7 @@ def test_against_plain_version(spark):
 
 def test_masks_cover_the_radius():
     rng = random.Random(4)
-    for rows in (10, 1 << 28, 1 << 36):
+    for rows in (10, 10_000, 1 << 20, 1 << 28, 1 << 36):
         masks = simhash.block_masks(3, rows)
         for _ in range(500):
             x, y = rng.getrandbits(64), 0
@@ -91,8 +91,8 @@ def test_similar_groups(spark):
     rows += [(200, None), (201, "  "), (202, "one"), (203, "ONE"), (204, "one two")]
     docs = clashing(documents(spark, rows))
     want = plain_groups(rows, 5, 0.8)
-    for tile, family_tile in ((simhash.WIDE_TILE, simhash.FAMILY_TILE), (20, 8)):
-        got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(docs, tile=tile, family_tile=family_tile).collect()}
+    for family_tile in (simhash.FAMILY_TILE, 8):
+        got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(docs, family_tile=family_tile).collect()}
         assert got == want
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
@@ -106,6 +106,61 @@ def test_popcount_order_is_used():
     assert found == {(i, j) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i] ^ a[i + 1 :]) <= 18) + i + 1}
 
 
+def test_tiles_are_skipped_among_the_registered_documents(spark, sf_dir):
+    """Buckets hold many sub-tiles, and pairs of those whose population counts differ by more than the radius are skipped."""
+    from collections import Counter
+
+    for scale in ("0.01", "0.1"):
+        docs = spark.read.parquet(sf_dir.replace("0.001", scale) + "/documents.parquet")
+        fps = np.array([r["fp"] for r in simhash.fingerprints(docs, 3).select("fp").distinct().collect()], np.int64).view(np.uint64)
+        tally, rows = Counter(), 0
+        for mask in simhash.block_masks(3, len(fps)):
+            keys = fps & np.uint64(mask)
+            for key in np.unique(keys):
+                own = fps[keys == key]
+                own = own[simhash._popcount_order(own)]
+                rows = max(rows, len(own))
+                for _ in simhash.near_pairs(own, own, 3, True, tally):
+                    pass
+        assert rows > 2 * simhash.SUB_TILE
+        assert tally["skipped"] > 0.2 * (tally["skipped"] + tally["compared"]) > 0, (scale, tally)
+
+
+def test_a_very_long_text(spark):
+    text = "x y z w v " * 60_000
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(documents(spark, [(1, text), (2, "a")])).collect()}
+    assert got[1] == f"{plain_fingerprint(text, 3):016x}"
+    assert {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(documents(spark, [(1, text), (2, text + "end"), (3, "a")])).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_recall_on_the_registered_documents(spark, sf_dir):
+    """All pairs by an inverted index over all shingles; documents of the pipeline's third stage are such."""
+    docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet")
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(docs).collect()}
+    from collections import Counter, defaultdict
+
+    sets, holders, first, copies = {}, defaultdict(list), {}, {}
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        own = frozenset(simhash._shingle_set(r["text"], 5))
+        if own in first:  # one stands for all of one set
+            copies[r["doc_id"]] = first[own]
+            continue
+        first[own] = r["doc_id"]
+        sets[r["doc_id"]] = own
+    forest = Forest(got)
+    for i, own in sets.items():
+        common = Counter(j for w in own for j in holders[w])
+        for j, n in common.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
+                forest.join(i, j)
+        for w in own:
+            holders[w].append(i)
+    for i, j in copies.items():
+        forest.join(i, j)
+    assert got == {i: forest.find(i) for i in got}
+    assert len(set(got.values())) < len(got)
+
+
 def test_small_sets_are_nominated_exactly(spark):
     """Pairs of similarity 0.8 and a little more, whose fingerprints are often outside the radius."""
     rng, rows = random.Random(11), []
@@ -120,10 +175,10 @@ def test_small_sets_are_nominated_exactly(spark):
 
 def test_similar_sets_share_a_key():
     rng = np.random.default_rng(5)
-    for n in range(1, simhash.EXACT_SIZE + 1):
-        for m in range(n, int(n / 0.8 + 1e-9) + 1):
+    for n in [*range(1, 65), 100, 257, 1000, 4001]:
+        for m in range(n, int(n / 0.8 + 1e-9) + 1, max(1, n // 64)):
             least = -(-4 * (n + m) // 9)  # the overlap at which the similarity is 0.8
-            for _ in range(40):
+            for _ in range(40 if n < 65 else 5):
                 h = rng.integers(0, 1 << 63, n + m - least).astype(np.uint64)
                 a, b = simhash.exact_keys(h[:n], 0.8), simhash.exact_keys(h[n - least :], 0.8)
                 assert set(a.tolist()) & set(b.tolist()), (n, m)

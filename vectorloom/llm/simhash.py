@@ -1,11 +1,16 @@
 """SimHash near-dedup by tiled exact comparison.
 
-Fingerprints are compared in tiles with numpy exclusive-or and bit counts; pairs of sub-tiles whose population counts
-differ by more than the radius are skipped. Two fingerprints within radius r of each other agree on at least m - r of
-any m blocks of bits, so for a small radius the tiles are dealt by agreeing blocks: every link is found (pigeonhole),
-and the comparisons stay near linear in the input. For a large radius no block needs to agree and all tiles of the
-admissible size classes meet. A tile holds a bounded number of rows; a bucket with more is cut into tiles, each pair of
-which is one task's work. Links are reduced to stars inside a task, so a group of n copies costs n - 1 rows, not n * n.
+Fingerprints are compared in tiles with numpy exclusive-or and bit counts, sorted by their population counts; pairs of
+sub-tiles whose population counts differ by more than the radius are skipped. Few fingerprints are one bucket. Of many,
+two within radius r of each other agree on at least m - r of any m blocks of bits, so they are dealt into buckets by bits
+of such blocks, as many bits as leave about BUCKET rows in a bucket: every link is found (pigeonhole), and the comparisons
+stay near linear in the input. A bucket over a tile is cut into tiles by population counts, each pair of which within the
+radius is one task's work. Links are reduced to stars inside a task, so a group of n copies costs n - 1 rows, not n * n.
+
+Groups of similar documents (`similar_groups`, `keep_one`) are decided by shingle sets. Sets that are similar share a key,
+whatever their sizes (`exact_keys`), so no pair is lost; documents that share keys fall into families, and inside a family
+128-bit fingerprints are compared in tiles: nearest pairs are verified first, and pairs that are connected already are
+passed over; what is left apart meets by its rarest shingles.
 
 Fingerprint: words are runs without ASCII white space after lower-casing A-Z; shingles of k words, repeats included,
 joined by one space (fewer words: the whole sequence); XXH64, seed 42; a bit is set if it is in over half the hashes.
@@ -34,7 +39,8 @@ from vectorloom.llm.shared import materialize, maybe_broadcast, shuffle_parts, s
 SEED = 42
 BITS = 64
 TILE = 8192
-SUB_TILE = 1024
+BUCKET = 4096
+SUB_TILE = 128
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -81,16 +87,21 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, f"id {kind}, fp long" + (", size long, hashes binary" if sets else ""))
 
 
-def block_masks(radius: int, rows: int) -> list[int]:
-    """Masks such that fingerprints within the radius agree under one at least; more bits for more rows. [0]: no choice."""
+def block_masks(radius: int, rows: int, bucket: int = BUCKET) -> list[int]:
+    """Masks such that fingerprints within the radius agree under one at least, with bits enough for buckets of about so
+    many rows. [0]: one bucket, where rows are few or no agreement is certain."""
+    width = max(0, rows // bucket).bit_length()
+    if not width:
+        return [0]
+    masks = [0]
     for m in range(radius + 1, radius + 4):
         edges = [BITS * i // m for i in range(m + 1)]
-        blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-        masks = [sum(x) for x in combinations(blocks, m - radius)]
-        width = min(bin(x).count("1") for x in masks)
-        if width < 8:
-            return [0]
-        if rows >> width <= 1024:
+        blocks = list(zip(edges, edges[1:], strict=False))
+        bits = [[x for a, b in some for x in range(a, b)] for some in combinations(blocks, m - radius)]
+        if min(map(len, bits)) < min(8, width):
+            break
+        masks = [sum(1 << x for x in some[:width]) for some in bits]
+        if min(map(len, bits)) >= width:
             break
     return masks
 
@@ -99,16 +110,21 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
-    """(i, j) in blocks for fingerprints a[i], b[j] within the radius; if same, a is b and i < j. Both sorted by population count."""
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tally: Counter | None = None):
+    """(i, j) in blocks for fingerprints a[i], b[j] within the radius; if same, a is b and i < j. Both sorted by population
+    count. tally: counts the pairs of sub-tiles that were compared and skipped."""
+    tally = Counter() if tally is None else tally
     pa_, pb = np.bitwise_count(a), np.bitwise_count(b)
     for i in range(0, len(a), SUB_TILE):
         x, low, high = a[i : i + SUB_TILE], int(pa_[i]), int(pa_[min(i + SUB_TILE, len(a)) - 1])
         for j in range(i if same else 0, len(b), SUB_TILE):
             if int(pb[j]) - high > radius:
+                tally["skipped"] += -(-(len(b) - j) // SUB_TILE)
                 break
             if low - int(pb[min(j + SUB_TILE, len(b)) - 1]) > radius:
+                tally["skipped"] += 1
                 continue
+            tally["compared"] += 1
             near = np.bitwise_count(x[:, None] ^ b[None, j : j + SUB_TILE]) <= radius
             p, q = np.nonzero(np.triu(near, 1) if same and i == j else near)
             if len(p):
@@ -150,7 +166,7 @@ def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     sizes = spread.groupBy("t", "k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     large = materialize(sizes.where(F.col("rows") > tile), "simhash-large")
     some = not large.isEmpty()
-    parts = max(shuffle_parts(nodes.sparkSession), min(2000, n * len(masks) // 200_000))
+    parts = max(shuffle_parts(nodes.sparkSession), n * len(masks) // 200_000)
 
     def whole(batches):
         """Runs of one bucket, in batches that are sorted by bucket; the last run waits for the next batch."""
@@ -174,7 +190,7 @@ def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     small = spread.join(large.select("t", "k"), ["t", "k"], "left_anti") if some else spread
     found = small.repartition(parts, "t", "k").sortWithinPartitions("t", "k").select("t", "k", "fp").mapInArrow(whole, "u long, v long")
     if some:
-        found = found.unionByName(_large_links(spread.join(F.broadcast(large.select("t", "k")) if large.count() < 100_000 else large.select("t", "k"), ["t", "k"]), radius, tile))
+        found = found.unionByName(_large_links(spread.join(maybe_broadcast(large.select("t", "k")), ["t", "k"]), radius, tile))
     return found
 
 
@@ -236,13 +252,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     return own.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
-# Groups of similar documents: keys of small sets and wide fingerprints nominate pairs, shingle sets decide.
+# Groups of similar documents: keys of sets and wide fingerprints find pairs, shingle sets decide.
 
-#: Documents at the similarity of 0.8 differ in about 19 of 128 bits, others in 64; the radius is over four deviations from both.
+#: Pairs within this radius of 128 bits are tried first. At the similarity of 0.8 about 19 bits differ, of others 64.
 WIDE_RADIUS = 36
-#: Pairs whose smaller set has at most so many shingles are all nominated, by keys; deviations of fingerprints are widest there.
-EXACT_SIZE = 64
-WIDE_TILE = 32_768
 #: Rows of a family that are compared in one task with their texts at hand.
 FAMILY_TILE = 512
 
@@ -282,7 +295,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def exact_keys(h: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of a set of hashes: similar sets share one, if the smaller has at most EXACT_SIZE.
+    """Keys of a set of hashes: similar sets share one.
 
     Shingles are dealt to more groups than differ between two similar sets, so some groups are alike, and a key is a group's
     content. Empty groups make no key; a set with so many that all its like groups could be empty adds its shingles up to
@@ -293,7 +306,7 @@ def exact_keys(h: np.ndarray, similarity: float) -> np.ndarray:
     own = _class_of(n, similarity)
     for level in (own - 1, own):
         most, differ, groups = _level(level, similarity)
-        if level > _class_of(EXACT_SIZE, similarity) or not most or most < similarity * n - 1e-9:
+        if not most or most < similarity * n - 1e-9:
             continue
         at = (h % np.uint64(groups)).astype(np.int64)
         content = np.zeros(groups, np.uint64)
@@ -307,31 +320,35 @@ def exact_keys(h: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
-def _key_links(nodes: DataFrame) -> DataFrame:
-    """(u, v): star links that connect the rows that share a key."""
-    keyed = nodes.select("row", F.explode("keys").alias("key"))
+def _key_links(keyed: DataFrame) -> DataFrame:
+    """(u, v): star links that connect the rows that share a key (columns row, key)."""
     first = keyed.groupBy("key").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
     first = materialize(first, "similar-keys")
     return keyed.join(maybe_broadcast(first), "key").where("row <> least").select(F.col("row").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def _wide(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """row, id, mark, f0, f1, size, alike (a digest of the shingle set) and keys."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                f0, f1, size, keys = [], [], [], []
+                f0, f1, size, alike, keys = [], [], [], [], []
                 for text in part.column(3).to_pylist():
                     h = wide_hashes(text, k)
                     f0.append(fingerprint(h[:, 0]))
                     f1.append(fingerprint(h[:, 1]))
                     size.append(len(h))
+                    alike.append(xxhash.xxh3_128_digest(h[np.lexsort((h[:, 1], h[:, 0]))].tobytes()))
                     keys.append(exact_keys(h[:, 0], similarity))
                 planes = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *planes, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "id", "mark", "f0", "f1", "size", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], *planes, pa.array(size, pa.int64()), pa.array(alike, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "id", "mark", "f0", "f1", "size", "alike", "keys"]
+                )
 
     small_batches(rows)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("row", "id", "mark", "text").mapInArrow(run, f"row long, id {kind}, mark long, f0 long, f1 long, size long, keys array<long>")
+    return rows.select("row", "id", "mark", "text").mapInArrow(run, f"row long, id {kind}, mark long, f0 long, f1 long, size long, alike binary, keys array<long>")
 
 
 def _wide_pairs(x: dict, y: dict, radius: int, similarity: float, same: bool):
@@ -363,30 +380,6 @@ def _columns(table: pa.Table, on: np.ndarray, names: tuple[str, ...] = ("row", "
     return {c: v[order] for c, v in got.items()}, at[order]
 
 
-def _families(nodes: DataFrame, radius: int, similarity: float, tile: int) -> DataFrame:
-    """(u, v): star links that connect all rows that are nominated as similar."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy(zero_copy_only=False) == "a"
-        (x, _), (y, _) = _columns(table, side), _columns(table, ~side)
-        same = not len(y["row"])
-        rows = x["row"] if same else np.concatenate([x["row"], y["row"]])
-        ps, qs, held = [], [], 0
-        for p, q, _ in _wide_pairs(x, x if same else y, radius, similarity, same):
-            ps.append(p)
-            qs.append(q if same else q + len(x["row"]))
-            held += len(p)
-            if held > 2_000_000:  # pairs shrink to stars before they grow with the square of a group
-                root = local_stars(len(rows), np.concatenate(ps), np.concatenate(qs))
-                own = np.flatnonzero(root != np.arange(len(rows)))
-                ps, qs, held = [own], [root[own]], len(own)
-        u, v = _star_links(rows, ps, qs) if ps else (rows[:0], rows[:0])
-        return pa.table({"u": pa.array(u), "v": pa.array(v)})
-
-    dealt = tile_pairs(nodes, [], "class", 1, tile, ["row", "f0", "f1", "size"])
-    return dealt.groupBy("ca", "qa", "cb", "qb").applyInArrow(compare, "u long, v long")
-
-
 def _sure_links(table: pa.Table, side: np.ndarray, k: int, radius: int, similarity: float) -> tuple[list[int], list[int]]:
     """Links that connect the rows of a table (row, f0, f1, size, text) whose shingle sets are similar: within side a if it
     is all, else between its two sides. Nearest pairs come first, and pairs that are connected already are passed over."""
@@ -423,18 +416,18 @@ def _sure_links(table: pa.Table, side: np.ndarray, k: int, radius: int, similari
     for i, j in zip(left, right, strict=True):
         decide(i, j)
 
-    # Small sets at any distance: similar ones share one of their rarest shingles.
+    # At any distance of fingerprints similar sets share one of their rarest shingles.
     size = table["size"].to_numpy()
-    small = np.flatnonzero((size > 0) & (size <= EXACT_SIZE / similarity + 1e-9)).tolist()
-    if len({root(i) for i in small}) < 2:
+    full = np.flatnonzero(size > 0).tolist()
+    if len({root(i) for i in full}) < 2:
         return u, v
-    rows_with = Counter(w for i in small for w in of(i))
+    rows_with = Counter(w for i in full for w in of(i))
     # Rows of the largest group are connected already: they meet only the others, so its size counts once, not squared.
-    held = Counter(root(i) for i in small).most_common(1)[0][0]
-    largest = {i for i in small if root(i) == held}
-    small.sort(key=lambda i: i in largest)
+    held = Counter(root(i) for i in full).most_common(1)[0][0]
+    largest = {i for i in full if root(i) == held}
+    full.sort(key=lambda i: i in largest)
     holders: dict[bytes, list[int]] = defaultdict(list)
-    for i in small:
+    for i in full:
         n, tried = int(size[i]), set()
         rare = sorted((w for w in of(i)), key=lambda w: (rows_with[w], w))
         for w in rare[: n - math.ceil(similarity * n - 1e-9) + 1]:
@@ -493,31 +486,35 @@ def _shingle_set(text: str | None, k: int) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, tile: int = WIDE_TILE, family_tile: int = FAMILY_TILE) -> DataFrame:
-    """id, mark (xxhash64 of the text), group_id, stays for every distinct (id, text): groups of documents linked by similarity.
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, family_tile: int = FAMILY_TILE) -> DataFrame:
+    """id, mark (xxhash64 of the text), group_id, stays for every row: groups of documents linked by similarity.
 
-    Keys that similar sets share nominate documents of small sets, wide fingerprints within the radius all others; they fall
-    into families (components of nominations), and shingle sets decide inside a family. The document with the smallest id of a group stays (null ids last, then the smallest
-    mark). Repeated rows of one id and text are one document here. Blank texts are alike."""
+    One row stands for all of one shingle set. Keys that similar sets share put these into families (components), and
+    shingle sets decide inside a family. The document with the smallest id of a group stays (null ids last, then the
+    smallest mark); repeated rows of one id and text are one document and stay or go together. Blank texts are alike."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    made = materialize(_wide(rows.withColumn("row", F.lit(0).cast("long")), k, similarity).drop("row"), "similar-fingerprints")
-    klass = F.when(F.col("size") == 0, -9).otherwise(F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9)).cast("int")
-    nodes = made.dropDuplicates(["id", "mark"]).withColumn("row", F.monotonically_increasing_id()).withColumn("class", klass)
-    nodes = materialize(nodes, "similar-nodes")
-
-    nominated = _families(nodes, radius, similarity, tile).unionByName(_key_links(nodes))
-    family = components(materialize(nominated, "similar-nominated"), "similar-family")
-    members = materialize(nodes.join(family.select(F.col("node").alias("row"), F.col("root").alias("family")), "row"), "similar-members")
+    made = materialize(_wide(rows.withColumn("row", F.monotonically_increasing_id()), k, similarity), "similar-fingerprints")
+    ones = materialize(made.groupBy("alike").agg(F.min("row").alias("one")), "similar-sets")
+
+    stands = maybe_broadcast(ones.select(F.col("one").alias("row")))
+    keyed = made.select("row", "keys").join(stands, "row", "left_semi").select("row", F.explode("keys").alias("key"))
+    family = components(materialize(_key_links(keyed), "similar-nominated"), "similar-family")
+    klass = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
+    nodes = made.drop("keys", "alike").withColumn("class", klass)
+    members = materialize(nodes.join(maybe_broadcast(family.select(F.col("node").alias("row"), F.col("root").alias("family"))), "row"), "similar-members")
     wanted = members.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "family", "row", "f0", "f1", "size", "class")
     same = rows["id"].eqNullSafe(F.col("__id")) & (rows["mark"] == F.col("__mark"))
     texts = rows.join(maybe_broadcast(wanted), same).select("family", "row", "f0", "f1", "size", "class", "text").dropDuplicates(["row"])
     texts = materialize(texts, "similar-texts")
-    roots = components(materialize(_verified(texts, k, radius, similarity, family_tile), "similar-links"), "similar")
-
-    grouped = nodes.join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row"))
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "row")).alias("first"))
-    return grouped.join(first, "root").select(F.col("id").alias(id_col), "mark", F.col("first.id").alias("group_id"), (F.col("row") == F.col("first.row")).alias("stays"))
+    roots = materialize(components(materialize(_verified(texts, k, radius, similarity, family_tile), "similar-links"), "similar"), "similar-roots")
+
+    rooted = ones.join(maybe_broadcast(roots), F.col("one") == F.col("node"), "left").select("alike", F.coalesce("root", "one").alias("root"))
+    grouped = materialize(made.select("row", "id", "mark", "alike").join(rooted, "alike").drop("alike"), "similar-rooted")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
+    first = maybe_broadcast(materialize(first, "similar-first"))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    return grouped.join(first, "root").select(F.col("id").alias(id_col), "mark", F.col("first.id").alias("group_id"), stays.alias("stays"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

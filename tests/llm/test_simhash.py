@@ -174,11 +174,25 @@ def test_small_sets_are_nominated_exactly(spark):
 
 
 def test_similar_sets_share_a_key():
+    """In any order of the items, rarest first or by hash, prefixes of similar sets meet."""
     rng = np.random.default_rng(5)
     for n in [*range(1, 65), 100, 257, 1000, 4001]:
         for m in range(n, int(n / 0.8 + 1e-9) + 1, max(1, n // 64)):
             least = -(-4 * (n + m) // 9)  # the overlap at which the similarity is 0.8
             for _ in range(40 if n < 65 else 5):
-                h = rng.integers(0, 1 << 63, n + m - least).astype(np.uint64)
-                a, b = simhash.exact_keys(h[:n], 0.8), simhash.exact_keys(h[n - least :], 0.8)
-                assert set(a.tolist()) & set(b.tolist()), (n, m)
+                order = rng.permutation(n + m - least)
+                a, b = np.sort(order[:n]), np.sort(order[n - least :])
+                p, q = (x[: simhash.prefix_size(len(x), 0.8)] for x in (a, b))
+                assert set(p.tolist()) & set(q.tolist()), (n, m)
+
+
+def test_common_passages_nominate_nobody(spark):
+    """Documents that share a passage of a third of their words, but little else, are no family."""
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"u{rng.getrandbits(40)}" for _ in range(60)) + " " + passage + " " + " ".join(f"u{rng.getrandbits(40)}" for _ in range(60))) for i in range(200)]
+    texts = spark.createDataFrame(rows, "row long, text string")
+    assert simhash._rare_keys(texts, 5, 0.8).count() == 0
+    rows += [(300 + i, rows[i][1] + " tail") for i in range(5)]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(documents(spark, rows)).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i, _ in rows}

@@ -8,8 +8,8 @@ stay near linear in the input. A bucket over a tile is cut into tiles by populat
 radius is one task's work. Links are reduced to stars inside a task, so a group of n copies costs n - 1 rows, not n * n.
 
 Groups of similar documents (`similar_groups`, `keep_one`) are decided by shingle sets. Sets that are similar share a key,
-whatever their sizes (`exact_keys`), so no pair is lost; documents that share keys fall into families, and inside a family
-128-bit fingerprints are compared in tiles: nearest pairs are verified first, and pairs that are connected already are
+whatever their sizes (a shingle of their prefixes), so no pair is lost; documents that share keys fall into families, and
+inside a family 128-bit fingerprints are compared in tiles: nearest pairs are verified first, and pairs that are connected already are
 passed over; what is left apart meets by its rarest shingles.
 
 Fingerprint: words are runs without ASCII white space after lower-casing A-Z; shingles of k words, repeats included,
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -252,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     return own.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
-# Groups of similar documents: keys of sets and wide fingerprints find pairs, shingle sets decide.
+# Groups of similar documents: prefixes of sets and wide fingerprints find pairs, shingle sets decide.
 
 #: Pairs within this radius of 128 bits are tried first. At the similarity of 0.8 about 19 bits differ, of others 64.
 WIDE_RADIUS = 36
@@ -270,54 +269,34 @@ def wide_hashes(text: str | None, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, shingles)), "<u8").reshape(-1, 2)
 
 
-def _class_of(size: int, similarity: float) -> int:
-    return math.floor(math.log(size) / math.log(1 / similarity) + 1e-9)
-
-
-@cache
-def _level(level: int, similarity: float) -> tuple[int, int, int]:
-    """Of the pairs whose smaller set is of a class: its largest size (0: the class has none), the most shingles in one set
-    alone, and the number of groups."""
-    most = math.floor((1 / similarity) ** (level + 1)) + 1
-    while most > 0 and _class_of(most, similarity) > level:
-        most -= 1
-    if most < 1 or _class_of(most, similarity) < level:
-        return 0, 0, 1
-    pair = most + math.floor(most / similarity + 1e-9)
-    differ = math.floor(pair * (1 - similarity) / (1 + similarity) + 1e-9)
-    return most, differ, differ + 1 + -(-differ // 8)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def exact_keys(h: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of a set of hashes: similar sets share one.
-
-    Shingles are dealt to more groups than differ between two similar sets, so some groups are alike, and a key is a group's
-    content. Empty groups make no key; a set with so many that all its like groups could be empty adds its shingles up to
-    the overlap's complement in the order of hashes, of which similar sets share one."""
-    n, keys = len(h), []
-    if not n:
-        return np.zeros(0, np.int64)
-    own = _class_of(n, similarity)
-    for level in (own - 1, own):
-        most, differ, groups = _level(level, similarity)
-        if not most or most < similarity * n - 1e-9:
-            continue
-        at = (h % np.uint64(groups)).astype(np.int64)
-        content = np.zeros(groups, np.uint64)
-        np.add.at(content, at, _mixed(h))
-        full = np.flatnonzero(np.bincount(at, minlength=groups))
-        salt = np.uint64(level + 1) << np.uint64(32)
-        keys.append(_mixed(content[full] + _mixed(salt + full.astype(np.uint64))))
-        if groups - len(full) >= groups - differ:
-            first = np.sort(h)[: n - math.ceil(similarity * n - 1e-9) + 1]
-            keys.append(_mixed(first + _mixed(salt + np.full(1, groups, np.uint64))))
-    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+def prefix_size(size: int, similarity: float) -> int:
+    """How many of a set's first items, in one order for all sets, any similar set must share one of."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def _hashes(texts: DataFrame, k: int) -> DataFrame:
+    """row, size and hash of every shingle of a text."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 32):
+                sets = [np.ascontiguousarray(wide_hashes(t, k)[:, 0]).view(np.int64) for t in part.column(1).to_pylist()]
+                sizes = np.array([len(h) for h in sets], np.int64)
+                rows = np.repeat(part.column(0).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], names=["row", "size", "hash"])
+
+    return texts.select("row", "text").mapInArrow(run, "row long, size long, hash long")
+
+
+def _rare_keys(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """row, key: the shingles of each row's prefix in the order of how many rows have them, that another row has as well."""
+    hashed = _hashes(texts, k)
+    shared = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = materialize(shared, "similar-shared")
+    own = hashed.join(maybe_broadcast(shared), "hash").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct("rows", "hash"))).alias("items"))  # a text's own shingles
+    alone = F.col("size") - F.size("items")  # shingles of this row only: the rarest
+    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
+    return own.select("row", F.explode(F.slice("items", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("x")).select("row", F.col("x.hash").alias("key"))
 
 
 def _key_links(keyed: DataFrame) -> DataFrame:
@@ -328,27 +307,27 @@ def _key_links(keyed: DataFrame) -> DataFrame:
 
 
 def _wide(rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """row, id, mark, f0, f1, size, alike (a digest of the shingle set) and keys."""
+    """row, id, mark, f0, f1, size, alike (a digest of the shingle set) and first (its prefix in the order of hashes)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                f0, f1, size, alike, keys = [], [], [], [], []
+                f0, f1, size, alike, first = [], [], [], [], []
                 for text in part.column(3).to_pylist():
                     h = wide_hashes(text, k)
                     f0.append(fingerprint(h[:, 0]))
                     f1.append(fingerprint(h[:, 1]))
                     size.append(len(h))
                     alike.append(xxhash.xxh3_128_digest(h[np.lexsort((h[:, 1], h[:, 0]))].tobytes()))
-                    keys.append(exact_keys(h[:, 0], similarity))
+                    first.append(np.sort(h[:, 0])[: prefix_size(len(h), similarity)].view(np.int64))
                 planes = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], *planes, pa.array(size, pa.int64()), pa.array(alike, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "id", "mark", "f0", "f1", "size", "alike", "keys"]
+                    [*part.columns[:3], *planes, pa.array(size, pa.int64()), pa.array(alike, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["row", "id", "mark", "f0", "f1", "size", "alike", "first"]
                 )
 
     small_batches(rows)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("row", "id", "mark", "text").mapInArrow(run, f"row long, id {kind}, mark long, f0 long, f1 long, size long, alike binary, keys array<long>")
+    return rows.select("row", "id", "mark", "text").mapInArrow(run, f"row long, id {kind}, mark long, f0 long, f1 long, size long, alike binary, first array<long>")
 
 
 def _wide_pairs(x: dict, y: dict, radius: int, similarity: float, same: bool):
@@ -489,7 +468,9 @@ def _shingle_set(text: str | None, k: int) -> set[bytes]:
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, family_tile: int = FAMILY_TILE) -> DataFrame:
     """id, mark (xxhash64 of the text), group_id, stays for every row: groups of documents linked by similarity.
 
-    One row stands for all of one shingle set. Keys that similar sets share put these into families (components), and
+    One row stands for all of one shingle set. Similar sets share a shingle of their prefixes (Chaudhuri et al., 2006): first
+    prefixes in the order of hashes leave out the rows that share none, then among the others the rarest shingles lead, so
+    that passages of many documents nominate nobody. Rows that share a leading shingle fall into families (components), and
     shingle sets decide inside a family. The document with the smallest id of a group stays (null ids last, then the
     smallest mark); repeated rows of one id and text are one document and stay or go together. Blank texts are alike."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -498,15 +479,19 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
     ones = materialize(made.groupBy("alike").agg(F.min("row").alias("one")), "similar-sets")
 
     stands = maybe_broadcast(ones.select(F.col("one").alias("row")))
-    keyed = made.select("row", "keys").join(stands, "row", "left_semi").select("row", F.explode("keys").alias("key"))
-    family = components(materialize(_key_links(keyed), "similar-nominated"), "similar-family")
+    keyed = made.select("row", "first").join(stands, "row", "left_semi").select("row", F.explode("first").alias("key"))
+    common = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "similar-common")
+    rest = maybe_broadcast(materialize(keyed.join(maybe_broadcast(common), "key", "left_semi").select("row").distinct(), "similar-rest"))
     klass = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    nodes = made.drop("keys", "alike").withColumn("class", klass)
-    members = materialize(nodes.join(maybe_broadcast(family.select(F.col("node").alias("row"), F.col("root").alias("family"))), "row"), "similar-members")
-    wanted = members.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "family", "row", "f0", "f1", "size", "class")
+    wanted = materialize(made.drop("first", "alike").join(rest, "row", "left_semi").withColumn("class", klass).withColumnsRenamed({"id": "__id", "mark": "__mark"}), "similar-wanted")
     same = rows["id"].eqNullSafe(F.col("__id")) & (rows["mark"] == F.col("__mark"))
-    texts = rows.join(maybe_broadcast(wanted), same).select("family", "row", "f0", "f1", "size", "class", "text").dropDuplicates(["row"])
+    texts = rows.join(maybe_broadcast(wanted), same).select("row", "f0", "f1", "size", "class", "text").dropDuplicates(["row"])
     texts = materialize(texts, "similar-texts")
+
+    keys = materialize(_rare_keys(texts, k, similarity), "similar-prefixes")
+    family = components(materialize(_key_links(keys), "similar-nominated"), "similar-family")
+    family = maybe_broadcast(materialize(family.select(F.col("node").alias("row"), F.col("root").alias("family")), "similar-families"))
+    texts = materialize(texts.join(family, "row"), "similar-members")
     roots = materialize(components(materialize(_verified(texts, k, radius, similarity, family_tile), "similar-links"), "similar"), "similar-roots")
 
     rooted = ones.join(maybe_broadcast(roots), F.col("one") == F.col("node"), "left").select("alike", F.coalesce("root", "one").alias("root"))

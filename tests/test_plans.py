@@ -64,8 +64,7 @@ def test_batch_fit_takes_the_settings_as_they_are(spark, sf_dir, monkeypatch):
         registry.queries()["batch_fit"](spark, sf_dir)
 
 
-def test_a_hub_is_split_over_tasks(spark, tmp_path, monkeypatch):
-    from vectorloom import storage
+def test_a_hub_is_split_over_tasks(spark, tmp_path):
     from vectorloom.operators import graph
 
     spark.range(40_000).selectExpr("case when id % 4 = 0 then id else 7 end as u", "id + 1000000 as v").where("u <> v").write.parquet(str(tmp_path / "e"))
@@ -76,12 +75,11 @@ def test_a_hub_is_split_over_tasks(spark, tmp_path, monkeypatch):
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
     }
-    monkeypatch.setattr(storage, "BROADCAST_LIMIT_BYTES", 0)
     before = {k: spark.conf.get(k) for k in settings}
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        out = graph._small_star(edges.selectExpr("case when v % 4 = 0 then v else 100000000 end as u", "v - 1000000 as v"), "hub")
+        out = graph._small_star(edges.selectExpr("case when v % 4 = 0 then v else 100000000 end as u", "v - 1000000 as v"))
         out.collect()
         assert "skew=true" in plan(out)
     finally:

@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014), as DataFrame joins.
 
-The smallest neighbour of each vertex is found with map-side combining and written to the shared folder, one row a vertex,
-before the join that hands it out: so both sides of that join are plain shuffles, and a vertex with very many edges is
-split over tasks by adaptive skew handling. Each step is written too, so lineage stays short and lost executors cost one
-step. Rounds end when all edges are stars, which is checked exactly. No edge reaches the driver.
+The smallest neighbour of each vertex is found with map-side combining, and reaches the join that hands it out under a key
+that the planner can't tell to be dealt already: so both sides of that join are plain shuffles, and a vertex with very many
+edges is split over tasks by adaptive skew handling. Each round is written to the shared folder, so lineage stays short
+and lost executors cost one round. Rounds end when all edges are stars, which is checked exactly. No edge reaches the
+driver.
 
 Defined results: self links and null ends are ignored; repeated links count once; no links give no rows.
 """
@@ -11,10 +12,10 @@ Defined results: self links and null ends are ignored; repeated links count once
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.storage import materialize, maybe_broadcast
+from vectorloom.storage import materialize
 
 
 def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -36,21 +37,21 @@ def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _hand_out(edges: DataFrame, least: DataFrame, name: str) -> DataFrame:
-    """edges with m, what least (u, m: a row for each u) says of their u."""
-    return edges.join(maybe_broadcast(materialize(least, f"{name}-least")), "u")
+def least_of(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """key and the least value of its rows, for a join that may have to split a key: the join shuffles it once more."""
+    return rows.groupBy(key).agg(F.min(key).alias("__key"), F.min(value).alias(name)).select(F.col("__key").alias(key), name)
 
 
-def _large_star(edges: DataFrame, name: str) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _hand_out(both.where("v > u"), least, name).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = least_of(both, "u", F.least("u", "v"), "m")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, name: str) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Of edges with u > v."""
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
-    moved = edges.join(maybe_broadcast(least), "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    least = least_of(edges, "u", F.col("v"), "m")
+    moved = edges.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -65,7 +66,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(now, f"{name}-edges")
     while not _are_stars(now):
-        large = materialize(_large_star(now, name), f"{name}-large")
-        now = materialize(_small_star(large, name), f"{name}-round")
+        now = materialize(_small_star(_large_star(now)), f"{name}-round")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

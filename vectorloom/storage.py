@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 #: A table is broadcast only if its values, summed up, with this much more for each row, stay below the limit.
 ROW_BYTES = 32
-BROADCAST_LIMIT_BYTES = 64 << 20
+BROADCAST_LIMIT_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

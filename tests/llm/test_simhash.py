@@ -191,8 +191,8 @@ def test_common_passages_nominate_nobody(spark):
     rng = random.Random(2)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, " ".join(f"u{rng.getrandbits(40)}" for _ in range(60)) + " " + passage + " " + " ".join(f"u{rng.getrandbits(40)}" for _ in range(60))) for i in range(200)]
-    texts = spark.createDataFrame(rows, "row long, text string")
-    assert simhash._rare_keys(texts, 5, 0.8).count() == 0
+    texts = spark.createDataFrame([(i, i, t) for i, t in rows], "id long, mark long, text string")
+    assert simhash._nominated(texts, 5, 0.8, 1 << 20).where("size(keys) > 0").count() == 0
     rows += [(300 + i, rows[i][1] + " tail") for i in range(5)]
     got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(documents(spark, rows)).collect()}
     assert got == {i: i - 300 if i >= 300 else i for i, _ in rows}

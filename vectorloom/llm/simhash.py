@@ -31,9 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom.llm import substring_dedup
 from vectorloom.llm.bpe import slices
-from vectorloom.llm.components import components, local_stars
-from vectorloom.llm.shared import materialize, maybe_broadcast, shuffle_parts, small_batches
+from vectorloom.llm.components import components, least_of, local_stars
+from vectorloom.llm.shared import block_count, materialize, maybe_broadcast, shuffle_parts, small_batches
+from vectorloom.llm.url_filter import LOWER, UPPER
 
 SEED = 42
 BITS = 64
@@ -246,8 +248,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     roots = components(materialize(links(nodes, radius, tile), "simhash-links"), "simhash")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
-    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")  # first, so that large components split
-    named = rooted.join(maybe_broadcast(least), "root").select("fp", "component_id")
+    named = rooted.join(least_of(rooted, "root", F.col("least"), "component_id"), "root").select("fp", "component_id")
     return own.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
@@ -274,60 +275,49 @@ def prefix_size(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def _hashes(texts: DataFrame, k: int) -> DataFrame:
-    """row, size and hash of every shingle of a text."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 32):
-                sets = [np.ascontiguousarray(wide_hashes(t, k)[:, 0]).view(np.int64) for t in part.column(1).to_pylist()]
-                sizes = np.array([len(h) for h in sets], np.int64)
-                rows = np.repeat(part.column(0).to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], names=["row", "size", "hash"])
-
-    return texts.select("row", "text").mapInArrow(run, "row long, size long, hash long")
-
-
-def _rare_keys(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """row, key: the shingles of each row's prefix in the order of how many rows have them, that another row has as well."""
-    hashed = _hashes(texts, k)
-    shared = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    shared = materialize(shared, "similar-shared")
-    own = hashed.join(maybe_broadcast(shared), "hash").groupBy("row", "size").agg(F.sort_array(F.collect_list(F.struct("rows", "hash"))).alias("items"))  # a text's own shingles
-    alone = F.col("size") - F.size("items")  # shingles of this row only: the rarest
-    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
-    return own.select("row", F.explode(F.slice("items", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("x")).select("row", F.col("x.hash").alias("key"))
-
-
 def _key_links(keyed: DataFrame) -> DataFrame:
     """(u, v): star links that connect the rows that share a key (columns row, key)."""
-    first = keyed.groupBy("key").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
-    first = materialize(first, "similar-keys")
-    return keyed.join(maybe_broadcast(first), "key").where("row <> least").select(F.col("row").alias("u"), F.col("least").alias("v")).distinct()
-
-
-def _wide(rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """row, id, mark, f0, f1, size, alike (a digest of the shingle set) and first (its prefix in the order of hashes)."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                f0, f1, size, alike, first = [], [], [], [], []
-                for text in part.column(3).to_pylist():
-                    h = wide_hashes(text, k)
-                    f0.append(fingerprint(h[:, 0]))
-                    f1.append(fingerprint(h[:, 1]))
-                    size.append(len(h))
-                    alike.append(xxhash.xxh3_128_digest(h[np.lexsort((h[:, 1], h[:, 0]))].tobytes()))
-                    first.append(np.sort(h[:, 0])[: prefix_size(len(h), similarity)].view(np.int64))
-                planes = [pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], *planes, pa.array(size, pa.int64()), pa.array(alike, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["row", "id", "mark", "f0", "f1", "size", "alike", "first"]
-                )
+    return keyed.join(least_of(keyed, "key", F.col("row"), "least"), "key").where("row <> least").select(F.col("row").alias("u"), F.col("least").alias("v")).distinct()
+
+
+def _nominated(rows: DataFrame, k: int, similarity: float, block_bytes: int) -> DataFrame:
+    """id, mark, size of every row (id, mark, text); for rows that may have a similar one also f0, f1 (wide fingerprints),
+    alike (a digest of the shingle set) and keys: the shingles of the prefix that are estimated to occur elsewhere.
+
+    In the order of a set's shingles those that surely occur nowhere else come first, then the others by their hashes."""
+
+    def use(table: pa.Table, block: substring_dedup.Block, often: np.ndarray) -> pa.Table:
+        n, distinct = len(block.order), max(1, len(block.first))
+        pairs = np.unique(np.repeat(np.arange(n), block.counts) * distinct + block.of)
+        doc, item = pairs // distinct, pairs % distinct
+        size = np.bincount(doc, minlength=n)
+        elsewhere = often[item] if len(item) else np.zeros(0, bool)
+        spare = np.array([prefix_size(int(x), similarity) for x in size], np.int64) - np.bincount(doc[~elsewhere], minlength=n)
+        doc, item = doc[elsewhere], item[elsewhere]
+        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        leads = rank < spare[doc]
+        doc, keys = doc[leads], block.first[item[leads]].view(np.int64)
+        short = block.counts == 0  # fewer words than a shingle: one shingle or none
+        named = short | (spare > 0)
+        texts, found = block.texts, []
+        for at in range(n):
+            if named[at]:
+                h = wide_hashes(texts[int(block.order[at])].as_py(), k)
+                found.append((len(h), fingerprint(h[:, 0]), fingerprint(h[:, 1]), xxhash.xxh3_128_digest(h[np.lexsort((h[:, 1], h[:, 0]))].tobytes())))
+            else:
+                found.append((int(size[at]), 0, 0, None))
+        sizes, f0, f1, alike = zip(*found, strict=True) if found else ((),) * 4
+        offsets = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
+        order = pa.array(block.order)
+        columns = [table["id"].take(order), table["mark"].take(order), pa.array(sizes, pa.int64()), *(pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)), pa.array(alike, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys))]
+        return pa.table(columns, names=["id", "mark", "size", "f0", "f1", "alike", "keys"])
 
     small_batches(rows)
+    blocks = block_count(rows, "text", block_bytes)
+    dealt = rows.select("id", "mark", F.monotonically_increasing_id().alias("key"), F.translate("text", UPPER, LOWER).alias("text"), F.pmod(F.xxhash64("id", "mark"), F.lit(blocks)).alias("block"))
+    windows = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # about; more cells only cost bits
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("row", "id", "mark", "text").mapInArrow(run, f"row long, id {kind}, mark long, f0 long, f1 long, size long, alike binary, first array<long>")
+    return substring_dedup.with_repeated(dealt, k, windows, use, f"id {kind}, mark long, size long, f0 long, f1 long, alike binary, keys array<long>")
 
 
 def _wide_pairs(x: dict, y: dict, radius: int, similarity: float, same: bool):
@@ -465,39 +455,35 @@ def _shingle_set(text: str | None, k: int) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, family_tile: int = FAMILY_TILE) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, family_tile: int = FAMILY_TILE, block_bytes: int = substring_dedup.BLOCK_BYTES) -> DataFrame:
     """id, mark (xxhash64 of the text), group_id, stays for every row: groups of documents linked by similarity.
 
-    One row stands for all of one shingle set. Similar sets share a shingle of their prefixes (Chaudhuri et al., 2006): first
-    prefixes in the order of hashes leave out the rows that share none, then among the others the rarest shingles lead, so
-    that passages of many documents nominate nobody. Rows that share a leading shingle fall into families (components), and
-    shingle sets decide inside a family. The document with the smallest id of a group stays (null ids last, then the
-    smallest mark); repeated rows of one id and text are one document and stay or go together. Blank texts are alike."""
+    Similar sets share a shingle of their prefixes in an order that all sets have in common (Chaudhuri et al., 2006). A
+    count-min sketch tells the shingles that occur nowhere else; these lead, so that passages of many documents nominate
+    only documents that consist of them. One row stands for all of one shingle set. Rows that share a key fall into families
+    (components), and shingle sets decide inside a family. The document with the smallest id of a group stays (null ids
+    last, then the smallest mark); repeated rows of one id and text are one document and stay or go together. Blank texts
+    are alike."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    made = materialize(_wide(rows.withColumn("row", F.monotonically_increasing_id()), k, similarity), "similar-fingerprints")
-    ones = materialize(made.groupBy("alike").agg(F.min("row").alias("one")), "similar-sets")
+    made = materialize(_nominated(rows, k, similarity, block_bytes).withColumn("row", F.monotonically_increasing_id()), "similar-nominated")
+    ones = materialize(made.where("alike is not null").groupBy("alike").agg(F.min("row").alias("one")), "similar-sets")
 
-    stands = maybe_broadcast(ones.select(F.col("one").alias("row")))
-    keyed = made.select("row", "first").join(stands, "row", "left_semi").select("row", F.explode("first").alias("key"))
-    common = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "similar-common")
-    rest = maybe_broadcast(materialize(keyed.join(maybe_broadcast(common), "key", "left_semi").select("row").distinct(), "similar-rest"))
     klass = F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    wanted = materialize(made.drop("first", "alike").join(rest, "row", "left_semi").withColumn("class", klass).withColumnsRenamed({"id": "__id", "mark": "__mark"}), "similar-wanted")
+    nodes = made.where("size(keys) > 0").join(ones.select(F.col("one").alias("row")), "row", "left_semi").withColumn("class", klass)
+    nodes = materialize(nodes.drop("alike"), "similar-nodes")
+    keyed = nodes.select("row", F.explode("keys").alias("key"))
+    family = components(_key_links(keyed), "similar-family").select(F.col("node").alias("row"), F.col("root").alias("family"))
+    wanted = materialize(nodes.drop("keys").join(family, "row").withColumnsRenamed({"id": "__id", "mark": "__mark"}), "similar-members")
     same = rows["id"].eqNullSafe(F.col("__id")) & (rows["mark"] == F.col("__mark"))
-    texts = rows.join(maybe_broadcast(wanted), same).select("row", "f0", "f1", "size", "class", "text").dropDuplicates(["row"])
+    texts = rows.join(maybe_broadcast(wanted), same).select("family", "row", "f0", "f1", "size", "class", "text").dropDuplicates(["row"])
     texts = materialize(texts, "similar-texts")
+    roots = components(_verified(texts, k, radius, similarity, family_tile), "similar")
 
-    keys = materialize(_rare_keys(texts, k, similarity), "similar-prefixes")
-    family = components(materialize(_key_links(keys), "similar-nominated"), "similar-family")
-    family = maybe_broadcast(materialize(family.select(F.col("node").alias("row"), F.col("root").alias("family")), "similar-families"))
-    texts = materialize(texts.join(family, "row"), "similar-members")
-    roots = materialize(components(materialize(_verified(texts, k, radius, similarity, family_tile), "similar-links"), "similar"), "similar-roots")
-
-    rooted = ones.join(maybe_broadcast(roots), F.col("one") == F.col("node"), "left").select("alike", F.coalesce("root", "one").alias("root"))
-    grouped = materialize(made.select("row", "id", "mark", "alike").join(rooted, "alike").drop("alike"), "similar-rooted")
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
-    first = maybe_broadcast(materialize(first, "similar-first"))
+    rooted = ones.join(roots, F.col("one") == F.col("node"), "left").select("alike", F.coalesce("root", "one").alias("root"))
+    grouped = made.select("row", "id", "mark", "alike").join(rooted, "alike", "left").select("id", "mark", F.coalesce("root", "row").alias("root"))
+    grouped = materialize(grouped, "similar-rooted")
+    first = least_of(grouped, "root", F.struct(F.col("id").isNull().alias("none"), "id", "mark"), "first")
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
     return grouped.join(first, "root").select(F.col("id").alias(id_col), "mark", F.col("first.id").alias("group_id"), stays.alias("stays"))
 

@@ -13,6 +13,9 @@ so costs one to two bytes in a shuffle, and no sketch is broadcast or held whole
 settled first by a hash of their words: a later copy has each of its windows in the first one, so only the first takes
 part; groups of copies of any size cost one row each.
 
+Windows are compared by 128 bits of their words' hashes, not by the words. Ids are integers above -2^63, which stands for
+null inside; a column of another type is an error.
+
 Defined results: a null text counts as having no words; fewer words than a window: nothing is removed. Null ids come
 before all others. Rows with the same id and the same words: one of them is the first. Rows with the same id and
 different words are ordered by a hash of their words. An empty table gives no rows. Every text is processed whole.
@@ -27,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorloom.llm.bpe import slices
 from vectorloom.llm.shared import block_count, materialize, small_batches
@@ -126,6 +130,8 @@ class Block:
             same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
         starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(keys) else np.zeros(0, np.int64)
         self.first, self.second = first[starts], second[starts]
+        self.of = np.empty(len(keys), np.int64)  # the distinct window of each window
+        self.of[keys] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
         self.times = np.diff(np.append(starts, len(keys)))
         # Documents come in order, so the least position is the earliest start.
         self.first_at = np.minimum.reduceat(keys, starts) if len(keys) else keys
@@ -222,6 +228,50 @@ def _exact(table: pa.Table) -> pa.Table:
     return _table(TELL, [(blocks[k], EARLIER, parts[k], hashes[late[cuts[k] : cuts[k + 1]]].tobytes()) for k in range(len(sizes)) if cuts[k + 1] > cuts[k]])
 
 
+def touched(block: Block, number: int, bits: int, parts: int) -> pa.Table:
+    """ASK: the cells of the sketch that a block touches."""
+    out = []
+    for row in range(DEPTH):
+        cells, twice, _ = block.cells(row, bits)
+        for part, a, b in _cut(cells, bits, parts):
+            base = np.uint64(part) << np.uint64(bits - (parts.bit_length() - 1))
+            out.append((row, part, number, pack_gaps(cells[a:b] - base), np.packbits(twice[a:b]).tobytes()))
+    return _table(ASK, out)
+
+
+def estimated(block: Block, told: dict[int, list[bytes]], bits: int, parts: int) -> np.ndarray:
+    """Which of a block's distinct windows are estimated repeated, by what the owners told it."""
+    often = np.ones(len(block.first), bool)
+    for row in range(DEPTH):
+        cells, _, inverse = block.cells(row, bits)
+        cuts = _cut(cells, bits, parts)
+        heavy = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8), count=b - a) for d, (_, a, b) in zip(told[row], cuts, strict=True)])
+        often &= heavy[inverse].astype(bool)
+    return often
+
+
+def sketch_size(windows: int) -> tuple[int, int]:
+    """(bits of a cell's number, slices) for so many windows."""
+    return _bits_of(windows), 1 << max(0, (windows // SLICE_WINDOWS).bit_length())
+
+
+def with_repeated(rows: DataFrame, width: int, windows: int, use, out_ddl: str) -> DataFrame:
+    """use(table, block, often) of every block of rows (key, mark, text, block and others): its windows, and which of the
+    distinct ones are estimated repeated anywhere. windows: about how many there are."""
+    bits, parts = sketch_size(windows)
+
+    def ask(table: pa.Table) -> pa.Table:
+        return touched(Block(table, width, set()), table["block"][0].as_py(), bits, parts)
+
+    def answer(table: pa.Table, tell: pa.Table) -> pa.Table:
+        block = Block(table, width, set())
+        return use(table, block, estimated(block, _told(tell), bits, parts) if len(block.first) else np.zeros(0, bool))
+
+    dealt = rows.groupBy("block")
+    told = dealt.applyInArrow(ask, ddl(ASK)).groupBy("row", "slice").applyInArrow(_merge, ddl(TELL))
+    return dealt.cogroup(told.groupBy("block")).applyInArrow(answer, out_ddl)
+
+
 def _digests(rows: DataFrame) -> DataFrame:
     """key, mark, block, n_words and a 128-bit hash of the word sequence."""
 
@@ -237,6 +287,8 @@ def _digests(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, n_words, n_removed, kept (the words left, joined by one space) and the columns to carry, for every row of docs."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError("documents start in the order of their ids: an integer column")
     small_batches(docs)
     blocks = block_count(docs, text_col, block_bytes)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -250,8 +302,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     windows = firsts.agg(F.sum(F.col("n_words") - width + 1)).first()[0] or 0
     copied = firsts.where("rows > 1").select("digest", "first")
     later = known.join(copied, "digest").where(F.struct("key", "mark") != F.col("first")).select("block", "key", "mark")
-    bits = _bits_of(windows)
-    parts = 1 << max(0, (windows // SLICE_WINDOWS).bit_length())
+    bits, parts = sketch_size(windows)
 
     def tell_copies(batches):
         for batch in batches:
@@ -263,25 +314,14 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     def ask(table: pa.Table, tell: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table(ASK, [])
-        block, out = Block(table, width, _copies(_told(tell))), []
-        for row in range(DEPTH):
-            cells, twice, _ = block.cells(row, bits)
-            for part, a, b in _cut(cells, bits, parts):
-                base = np.uint64(part) << np.uint64(bits - (parts.bit_length() - 1))
-                out.append((row, part, table["block"][0].as_py(), pack_gaps(cells[a:b] - base), np.packbits(twice[a:b]).tobytes()))
-        return _table(ASK, out)
+        return touched(Block(table, width, _copies(_told(tell))), table["block"][0].as_py(), bits, parts)
 
     def estimate(table: pa.Table, tell: pa.Table) -> pa.Table:
         told = _told(tell)
         if not table.num_rows or not any(r >= 0 for r in told):
             return _table(FOUND, [])
         block = Block(table, width, _copies(told))
-        often = np.ones(len(block.first), bool)
-        for row in range(DEPTH):
-            cells, _, inverse = block.cells(row, bits)
-            cuts = _cut(cells, bits, parts)
-            heavy = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8), count=b - a) for d, (_, a, b) in zip(told[row], cuts, strict=True)])
-            often &= heavy[inverse].astype(bool)
+        often = estimated(block, told, bits, parts)
         hashes = np.stack([block.first[often], block.second[often]], axis=1)
         ids, marks = block.firsts(often)
         out = [(p, table["block"][0].as_py(), hashes[a:b].tobytes(), ids[a:b].tobytes(), marks[a:b].tobytes()) for p, a, b in _cut(block.first[often], 64, parts)]

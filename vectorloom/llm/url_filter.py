@@ -137,9 +137,8 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     found = materialize(components(edges.where("u is not null and v is not null"), "url-aliases"), "url-roots")
     members = with_rules(found.select("node", "root", host(F.col("node")).alias("host"), path(F.col("node")).alias("path")), rules)
     allow, block = F.max((F.col("action") == "allow").cast("int")), F.max((F.col("action") == "block").cast("int"))
-    # Written first, with decisions only, so that the pages of one large component split over tasks.
-    decided = members.groupBy("root").agg(F.when(allow == 1, "allow").when(block == 1, "block").alias("decision")).where("decision is not null")
-    decided = maybe_broadcast(materialize(decided, "url-decided"))
+    # Under a key of its own (see least_of), so that the pages of one large component split over tasks.
+    decided = members.groupBy("root").agg(F.min("root").alias("of"), F.when(allow == 1, "allow").when(block == 1, "block").alias("decision")).select(F.col("of").alias("root"), "decision").where("decision is not null")
 
     ruled = held.where("rule is not null").withColumn("root", F.lit(None).cast("string")).withColumn("decision", F.col("action"))
     rest = held.where("rule is null").join(found, F.col("url") == F.col("node"), "left").drop("node").join(decided, "root", "left")

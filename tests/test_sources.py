@@ -2,8 +2,10 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorloom import config
 from vectorloom.config import Filters, Settings
@@ -68,7 +70,7 @@ def test_batch_statuses(spark, tmp_path):
     settings = Settings(filters=Filters(apply_2d_median=False))
     labelled, results = batch.run(tasks, field, settings)
     got = {(r["camera_name"], str(r["target_date"])): (r["status"], r["reason"], r["error"], r["n_points"]) for r in results.collect()}
-    assert got == {("Tele_A", "2024-09-02"): ("success", None, None, 60), ("Wide", "2024-09-03"): ("error", None, "no data", None), ("Wide", "2030-01-01"): ("skipped", "no analyses", None, None)}
+    assert got == {("Tele_A", "2024-09-02"): ("success", None, None, 58), ("Wide", "2024-09-03"): ("error", None, "no data", None), ("Wide", "2030-01-01"): ("skipped", "no analyses", None, None)}
     assert batch.tally(results).first() == (3, 1, 1, 1)
     assert batch.plan_tasks(joined, work, i.where("image_id <> 10")).where("reason = 'no image'").count() == 1
     sinks.write_features(labelled.withColumn("camera_name", F.lit("Tele_A")), str(tmp_path / "csv"))
@@ -125,7 +127,7 @@ def test_names(spark):
     df = spark.sql("select timestamp_ntz'2024-09-02 08:05:03' as t, 'Tele' as c, -1 as a, 3 as b")
     run = naming.run_name(F.col("c"), F.col("t"))
     got = df.select(naming.title_of(F.col("t")), naming.stamp_of(F.col("t")), naming.stamp_of_text(naming.title_of(F.col("t"))), naming.model_name(run, 8, "full", 0.5), naming.label_name(F.col("a")), naming.label_name(F.col("b")), images.needs_rotation(F.col("c"))).first()
-    assert tuple(got) == ("2024-09-02 08:05:03", "20240902_080503", "2024-09-02_08-05-03", "Tele_2024-09-02_GMM_8comp_full_0.5", "Noise", "Cluster 3", True)
+    assert tuple(got) == ("2024-09-02 08:05:03", "20240902_080503", "2024-09-02_08-05-03", "Tele_2024-09-02_GMM_GMM_comp8_covfull_wcp0.5", "Noise", "Cluster 3", True)
 
 
 def test_settings(tmp_path):
@@ -138,6 +140,77 @@ def test_settings(tmp_path):
         config.merged(s, {"nothing": 1})
 
 
+def test_settings_files_with_other_names(tmp_path):
+    (tmp_path / "c.yaml").write_text(
+        """
+database: {host: h, port: 5433, name: db, user: "", password: ""}
+api: {host: a, port: 81, image_view: images}
+data: {target_date: "2024-09-02", camera_names: [Cam], roi_path: roi.json}
+dic: {filter_outliers: true, tails_percentile: 0.02, min_velocity: 1, apply_2d_median: false, median_window_size: 7, median_threshold_factor: 2.5}
+clustering: {variables_names: [V, angle_deg], n_components: 6, weight_concentration_prior: 0.1, max_iter: 50, random_state: 1, covariance_type: full}
+output: {base_dir: out, save_plots: false, plot_dpi: 100}
+processing: {n_jobs: 2, log_level: DEBUG}
+"""
+    )
+    s = config.load(str(tmp_path / "c.yaml"), {})
+    assert s.filters == Filters(True, 0.02, 1, False, 7, 2.5) and s.clustering.features == ("speed", "angle_deg") and s.clustering.n_components == 6
+    assert (s.target_date, s.camera_names, s.roi_path, s.n_jobs, s.log_level, s.output.base_dir) == ("2024-09-02", ("Cam",), "roi.json", 2, "DEBUG", "out")
+    assert s.db_url == "postgresql://:@h:5433/db" and s.get_api_url() == "http://a:81" and s.get_api_url("/x") == "http://a:81/x"
+    assert s.get("dic.median_window_size") == 7 and s.get("data.target_date") == "2024-09-02" and s.get("clustering.variables_names") == ("speed", "angle_deg") and s.get("processing.none") is None
+    (tmp_path / "bad.yaml").write_text("dic: {nothing: 1}")
+    with pytest.raises(KeyError):
+        config.load(str(tmp_path / "bad.yaml"), {})
+
+
+def test_a_fit_that_fails_is_its_tasks_error(spark, monkeypatch):
+    from vectorloom.operators import mixture
+
+    a, i, c = catalog_tables(spark)
+    joined = catalog.joined(a, i, c)
+    tasks = batch.plan_tasks(joined, catalog.work_list(joined), i)
+    field = fields.from_payloads(spark.createDataFrame([(2, payload(60, 0.5)), (4, payload(3, 0.5))], "frame long, body string"))
+    settings = Settings(filters=Filters(filter_outliers=False, apply_2d_median=False))
+
+    def fails(x, *rest, real=mixture.fit_array):
+        if len(x) < 10:
+            raise ValueError("too few rows")
+        return real(x, *rest)
+
+    monkeypatch.setattr(mixture, "fit_array", fails)
+    rows = []  # the grouped map's function, tried in this process: a worker would import the operator anew
+    table = pa.table({"frame": [4, 4], "a": [1.0, 2.0]})
+
+    class Grouped:
+        def applyInArrow(self, run, schema):
+            rows.append((run(table), schema))
+
+    class Frame:
+        schema = T.StructType([T.StructField("frame", T.LongType()), T.StructField("a", T.DoubleType())])
+
+        def drop(self, *_):
+            return self
+
+        def groupBy(self, *_):
+            return Grouped()
+
+    mixture.fit_predict_frames(Frame(), ["a"], error="why")
+    assert rows[0][0]["cluster"].to_pylist() == [None, None] and rows[0][0]["why"].to_pylist() == ["ValueError: too few rows"] * 2
+    assert [f.name for f in rows[0][1]] == ["frame", "a", "cluster", "why"]
+    with pytest.raises(ValueError):
+        mixture.fit_predict_frames(Frame(), ["a"])
+    monkeypatch.undo()
+
+    def broken(df, columns, *rest, error=None, **more):
+        label = F.when(F.col("frame") == 4, F.lit(None)).otherwise(0).cast("int")
+        return df.withColumn("cluster", label).withColumn(error, F.when(F.col("frame") == 4, "ValueError: x"))
+
+    monkeypatch.setattr(batch.mixture, "fit_predict_frames", broken)
+    labelled, results = batch.run(tasks, field, settings)
+    got = {r["frame"]: (r["status"], r["error"], r["n_clusters"]) for r in results.collect()}
+    assert got == {2: ("success", None, 1), 4: ("error", "ValueError: x", None)}
+    assert {r["frame"] for r in labelled.collect()} == {2}
+
+
 def test_category_features_of_payload(spark):
     raw = spark.createDataFrame([(1, payload(20))], "frame long, body string")
     assert features.features(fields.filtered(raw)).count() > 0

@@ -43,20 +43,30 @@ class Api:
     image_view: str = ""
 
 
+@dataclass(frozen=True)
+class Output:
+    base_dir: str = "output"
+    save_plots: bool = True
+    plot_dpi: int = 300
+
+
 @dataclass(frozen=True)
 class Settings:
     filters: Filters = Filters()
     clustering: Clustering = Clustering()
     database: Database = Database()
     api: Api = Api()
+    output: Output = Output()
+    target_date: str = ""
     camera_names: tuple[str, ...] = ()
     roi_path: str = ""
     n_jobs: int = 1
+    log_level: str = "INFO"
 
     def get(self, key: str, default: Any = None) -> Any:
         """The value at a dotted key, or the default if there is none."""
         at: Any = self
-        for part in key.split("."):
+        for part in _own_key(key).split("."):
             if not is_dataclass(at) or part not in {f.name for f in fields(at)}:
                 return default
             at = getattr(at, part)
@@ -76,8 +86,36 @@ class Settings:
     def api_url(self) -> str:
         return f"http://{self.api.host}:{self.api.port}"
 
-    def get_api_url(self, endpoint: str) -> str:
-        return f"{self.api_url}/{endpoint.lstrip('/')}"
+    def get_api_url(self, endpoint: str = "") -> str:
+        """The URL of an endpoint; of the base without one."""
+        return f"{self.api_url}/{endpoint.lstrip('/')}" if endpoint else self.api_url
+
+
+# Other names of sections and keys in a settings file, and what they are here. An empty name is the top.
+SECTIONS = {"dic": "filters", "data": "", "processing": ""}
+KEYS = {"clustering.variables_names": "clustering.features", "data.polygon_roi_file": "roi_path"}
+# The columns that such a file calls otherwise.
+COLUMNS = {"V": "speed", "magnitude": "speed"}
+
+
+def _own_key(key: str) -> str:
+    if key in KEYS:
+        return KEYS[key]
+    section, dot, rest = key.partition(".")
+    return f"{SECTIONS[section]}.{rest}".lstrip(".") if dot and section in SECTIONS else key
+
+
+def _own_names(values: Mapping[str, Any]) -> dict:
+    """A settings file's values under the names that they have here."""
+    out: dict = {}
+    for section, held in values.items():
+        for key, value in (held or {}).items() if isinstance(held, Mapping) else [("", held)]:
+            at, target = _own_key(f"{section}.{key}".rstrip(".")), out
+            *path, leaf = at.split(".")
+            for part in path:
+                target = target.setdefault(part, {})
+            target[leaf] = [COLUMNS.get(x, x) for x in value] if at == "clustering.features" else value
+    return out
 
 
 # Environment variables that override the settings.
@@ -100,7 +138,13 @@ def merged(base: Any, values: Mapping[str, Any]) -> Any:
     for key, value in values.items():
         if key not in known:
             raise KeyError(f"no setting {key!r} in {type(base).__name__}")
-        new[key] = merged(known[key], value) if is_dataclass(known[key]) else tuple(value) if isinstance(known[key], tuple) else value
+        if is_dataclass(known[key]):
+            value = merged(known[key], value)
+        elif isinstance(known[key], tuple):
+            value = tuple(value)
+        elif isinstance(known[key], str):
+            value = "" if value is None else str(value)
+        new[key] = value
     return replace(base, **new)
 
 
@@ -111,7 +155,7 @@ def load(path: str | None = None, environment: Mapping[str, str] | None = None)
         import yaml
 
         with open(path, encoding="utf-8") as f:
-            settings = merged(settings, yaml.safe_load(f) or {})
+            settings = merged(settings, _own_names(yaml.safe_load(f) or {}))
     env = os.environ if environment is None else environment
     for name, key in ENVIRONMENT.items():
         if name in env:

@@ -24,8 +24,9 @@ def run_name(camera: Column, day: Column, model: str = "GMM") -> Column:
 
 
 def model_name(run: Column, components: int, covariance: str = "full", prior: float | None = None) -> Column:
-    tail = f"_{components}comp_{covariance}" + (f"_{prior:g}" if prior is not None else "")
-    return F.concat(run, F.lit(tail))
+    """The name of a run's saved model; with a concentration prior that of a variational fit's results."""
+    kind, tail = ("model", "") if prior is None else ("GMM", f"_wcp{prior}")
+    return F.concat(run, F.lit(f"_{kind}_comp{components}_cov{covariance}{tail}"))
 
 
 def label_name(label: Column) -> Column:

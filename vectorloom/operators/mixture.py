@@ -208,19 +208,29 @@ def predict(df: DataFrame, mixture: Mixture, columns: Sequence[str], label: str
     return df.withColumn(label, F.when(known, F.array_position(terms, F.array_max(terms)).cast("int") - 1))
 
 
-def fit_predict_frames(df: DataFrame, columns: Sequence[str], k: int = 8, max_iter: int = 100, gamma: float | None = None, label: str = "cluster") -> DataFrame:
-    """df with a label from a mixture fitted to each frame by itself: a grouped map, one frame a group."""
+def fit_predict_frames(df: DataFrame, columns: Sequence[str], k: int = 8, max_iter: int = 100, gamma: float | None = None, label: str = "cluster", error: str | None = None) -> DataFrame:
+    """df with a label from a mixture fitted to each frame by itself: a grouped map, one frame a group.
+
+    error: a column that gets the message if a frame's fit fails, whose labels are then null; without it the failure is raised."""
     schema = T.StructType([*df.drop(label).schema.fields, T.StructField(label, T.IntegerType())])
+    if error:
+        schema = schema.add(error, T.StringType())
     columns = list(columns)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.drop_columns([label]) if label in table.column_names else table
-        x = np.column_stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in columns])
-        known = ~np.isnan(x).any(axis=1)
-        out = np.full(len(x), -1)
-        if known.any():
-            out[known] = np.argmax(fit_array(x[known], k, max_iter, gamma).log_terms(x[known]), axis=1)
-        return table.append_column(label, pa.array(out, pa.int32(), mask=~known))
+        out, known, message = np.full(table.num_rows, -1), np.zeros(table.num_rows, bool), None
+        try:
+            x = np.column_stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in columns])
+            known = ~np.isnan(x).any(axis=1)
+            if known.any():
+                out[known] = np.argmax(fit_array(x[known], k, max_iter, gamma).log_terms(x[known]), axis=1)
+        except Exception as e:
+            if not error:
+                raise
+            known, message = np.zeros(table.num_rows, bool), f"{type(e).__name__}: {e}"
+        table = table.append_column(label, pa.array(out, pa.int32(), mask=~known))
+        return table.append_column(error, pa.array([message] * table.num_rows, pa.string())) if error else table
 
     return df.groupBy("frame").applyInArrow(run, schema)
 

@@ -27,26 +27,34 @@ def plan_tasks(catalog: DataFrame, work: DataFrame, images: DataFrame | None = N
 
 
 def run(tasks: DataFrame, field: DataFrame, settings: Settings = Settings(), polygon=None, fit: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(labelled features, task results)."""
+    """(labelled features, task results).
+
+    Of a success n_points are the rows that are clustered, n_filtered_points those that the region took from the filtered
+    ones, n_clusters the clusters found; an error has its message, a skipped task its reason, and neither has counts."""
     ready = tasks.where("status = 'ready'").select("frame").distinct()
     own = materialize(field.join(ready, "frame", "left_semi"), "batch-field")
-    kept = roi.clip(filters.filter_pipeline(own, settings.filters), polygon)
-    made = materialize(features.features(kept), "batch-features")
+    filtered = materialize(filters.filter_pipeline(own, settings.filters), "batch-filtered")
+    made = materialize(features.features(roi.clip(filtered, polygon)), "batch-features")
     columns = list(settings.clustering.features)
     scaled = features.standardize(made, columns)
     if fit:
         c = settings.clustering
-        labelled = mixture.fit_predict_frames(scaled, [f"{x}_scaled" for x in columns], c.n_components, c.max_iter, c.weight_concentration_prior)
+        labelled = mixture.fit_predict_frames(scaled, [f"{x}_scaled" for x in columns], c.n_components, c.max_iter, c.weight_concentration_prior, error="__error")
     else:
-        labelled = scaled.withColumn("cluster", features.ordinal(F.col("magnitude_category")))
+        labelled = scaled.withColumn("cluster", features.ordinal(F.col("magnitude_category"))).withColumn("__error", F.lit(None).cast("string"))
     labelled = materialize(labelled.drop(*[f"{x}_scaled" for x in columns]), "batch-labels")
-    counts = own.groupBy("frame").agg(F.count(F.lit(1)).alias("n_points"))
-    after = labelled.groupBy("frame").agg(F.count(F.lit(1)).alias("n_filtered_points"), F.count_distinct("cluster").alias("n_clusters"))
-    out = tasks.join(counts, "frame", "left").join(after, "frame", "left")
-    ready_, n = F.col("status") == "ready", F.coalesce("n_filtered_points", F.lit(0))
-    status = F.when(~ready_, F.col("status")).when(n > 0, "success").otherwise("error")
-    error = F.when(ready_ & (n == 0), F.when(F.coalesce("n_points", F.lit(0)) == 0, "no data").otherwise("no rows left"))
-    return labelled, out.select("camera_name", "target_date", "frame", status.alias("status"), "reason", error.alias("error"), "n_points", "n_filtered_points", "n_clusters")
+    raw = own.groupBy("frame").agg(F.count(F.lit(1)).alias("raw"))
+    before = filtered.groupBy("frame").agg(F.count(F.lit(1)).alias("before"))
+    after = labelled.groupBy("frame").agg(F.count(F.lit(1)).alias("after"), F.count_distinct("cluster").alias("clusters"), F.max("__error").alias("failed"))
+    out = tasks.join(raw, "frame", "left").join(before, "frame", "left").join(after, "frame", "left")
+    ready_ = F.col("status") == "ready"
+    error = F.when(ready_, F.when(F.col("raw").isNull(), "no data").when(F.col("after").isNull(), "no rows left").otherwise(F.col("failed")))
+    out = out.withColumn("error", error)
+    done = ready_ & F.col("error").isNull()
+    status = F.when(~ready_, F.col("status")).when(done, "success").otherwise("error")
+    counts = {"n_points": F.col("after"), "n_filtered_points": F.col("before") - F.col("after"), "n_clusters": F.col("clusters")}
+    results = out.select("camera_name", "target_date", "frame", status.alias("status"), "reason", "error", *[F.when(done, c).alias(name) for name, c in counts.items()])
+    return labelled.where("__error is null").drop("__error"), results
 
 
 def tally(results: DataFrame) -> DataFrame:

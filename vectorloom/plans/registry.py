@@ -148,6 +148,18 @@ def batch_status(spark, sf_dir):
     return summary.batch_summary(adapters.table(spark, sf_dir, "orders").select(F.when(state == "F", "success").when(state == "O", "skipped").otherwise("error").alias("status")))
 
 
+@query(f"with {CATALOG} select dic_id, camera_id, camera_name, master_image_id, master_timestamp from c where dic_id = (select min(o_orderkey) + 6 from orders)")
+def catalog_by_id(spark, sf_dir):
+    own = adapters.joined_catalog(spark, sf_dir)
+    wanted = adapters.table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0]
+    return catalog.analyses_of(own, dic_id=wanted + 6).select(*CATALOG_COLUMNS)
+
+
+@query(f"with {CATALOG} select dic_id, camera_id, camera_name, master_image_id, master_timestamp from c order by master_timestamp, dic_id limit 5")
+def catalog_head(spark, sf_dir):
+    return catalog.head(adapters.joined_catalog(spark, sf_dir), 5).select(*CATALOG_COLUMNS)
+
+
 @query("select n_name as camera_name, lower(n_name) like '%tele%' or n_name like '%7' as unused, lower(n_name || case when n_nationkey % 2 = 0 then '_Tele' else '' end) like '%tele%' as rotate from nation")
 def image_rotation(spark, sf_dir):
     cameras = adapters.cameras(spark, sf_dir)
@@ -155,11 +167,11 @@ def image_rotation(spark, sf_dir):
     return cameras.select("camera_name", (images.needs_rotation(F.col("camera_name")) | F.col("camera_name").endswith("7")).alias("unused"), images.needs_rotation(name).alias("rotate"))
 
 
-@query("select o_orderkey as dic_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as title, strftime(o_orderdate, '%Y%m%d_%H%M%S') as stamp, replace(replace(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), ':', '-'), ' ', '_') as text_stamp, n_name || '_' || strftime(o_orderdate, '%Y-%m-%d') || '_GMM' as run, n_name || '_' || strftime(o_orderdate, '%Y-%m-%d') || '_GMM_8comp_full_0.5' as model from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
+@query("select o_orderkey as dic_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as title, strftime(o_orderdate, '%Y%m%d_%H%M%S') as stamp, replace(replace(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), ':', '-'), ' ', '_') as text_stamp, n_name || '_' || strftime(o_orderdate, '%Y-%m-%d') || '_GMM' as run, n_name || '_' || strftime(o_orderdate, '%Y-%m-%d') || '_GMM_GMM_comp8_covfull_wcp0.5' as results, n_name || '_' || strftime(o_orderdate, '%Y-%m-%d') || '_GMM_model_comp8_covfull' as model from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
 def run_names(spark, sf_dir):
     ts = F.col("master_timestamp")
     run = naming.run_name(F.col("camera_name"), ts)
-    return adapters.joined_catalog(spark, sf_dir).select("dic_id", naming.title_of(ts).alias("title"), naming.stamp_of(ts).alias("stamp"), naming.stamp_of_text(naming.title_of(ts)).alias("text_stamp"), run.alias("run"), naming.model_name(run, 8, "full", 0.5).alias("model"))
+    return adapters.joined_catalog(spark, sf_dir).select("dic_id", naming.title_of(ts).alias("title"), naming.stamp_of(ts).alias("stamp"), naming.stamp_of_text(naming.title_of(ts)).alias("text_stamp"), run.alias("run"), naming.model_name(run, 8, "full", 0.5).alias("results"), naming.model_name(run, 8, "full").alias("model"))
 
 
 # --- fields and filters -----------------------------------------------------------------------------------------------
@@ -622,8 +634,8 @@ def _batch(spark, sf_dir, settings: Settings, fit: bool):
     f"""with {FIELD}, {PERCENTILED}, e as (select * from p where speed >= 1), {median_sql('e')}, w as (select * from kept where {inside_sql(REGION)}), {QUARTILES.format(src='w')},
     l as (select frame, {ORDINAL} as cluster from w join q using (frame)), {CATALOG},
     t as (select distinct camera_name, cast(date_trunc('year', reference_date) as date) as target_date, cast(year(reference_date) as bigint) as frame from c where camera_name in ('NATION_3', 'NATION_7', 'NATION_11')),
-    n as (select frame, count(*) as n_points from f group by 1), a as (select frame, count(*) as n_filtered_points, count(distinct cluster) as n_clusters from l group by 1)
-    select camera_name, target_date, case when n_filtered_points > 0 then 'success' else 'error' end as status, n_points, n_filtered_points, n_clusters from t left join n using (frame) left join a using (frame)
+    n as (select frame, count(*) as n_kept from kept group by 1), a as (select frame, count(*) as n_points, count(distinct cluster) as n_clusters from l group by 1)
+    select camera_name, target_date, case when n_points > 0 then 'success' else 'error' end as status, n_points, n_kept - n_points as n_filtered_points, n_clusters from t left join n using (frame) left join a using (frame)
     union all select 'NATION_3', date '1970-01-01', 'skipped', null, null, null"""
 )
 def batch_pipeline(spark, sf_dir):

@@ -27,7 +27,7 @@ def joined(analyses: DataFrame, images: DataFrame, cameras: DataFrame) -> DataFr
     return out.drop("image_id")
 
 
-def analyses_of(catalog: DataFrame, *, reference_date: str | None = None, master_timestamp: str | None = None, camera_id: int | None = None, camera_name: str | None = None) -> DataFrame:
+def analyses_of(catalog: DataFrame, *, reference_date: str | None = None, master_timestamp: str | None = None, camera_id: int | None = None, camera_name: str | None = None, dic_id: int | None = None) -> DataFrame:
     """The catalog rows for which every given condition holds. Order is the caller's: `ordered` sorts by timestamp."""
     out = catalog
     if reference_date is not None:
@@ -38,6 +38,8 @@ def analyses_of(catalog: DataFrame, *, reference_date: str | None = None, master
         out = out.where(F.col("camera_id") == camera_id)
     if camera_name is not None:
         out = out.where(F.col("camera_name") == camera_name)
+    if dic_id is not None:
+        out = out.where(F.col("dic_id") == dic_id)
     return out
 
 
@@ -45,6 +47,11 @@ def ordered(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy("master_timestamp", "dic_id")
 
 
+def head(catalog: DataFrame, n: int = 5) -> DataFrame:
+    """The first n rows by master timestamp, then id."""
+    return ordered(catalog).limit(n)
+
+
 def first_analyses(catalog: DataFrame, *keys: str) -> DataFrame:
     """The first analysis by master timestamp, then id, of each key; of all without keys."""
     if not keys:

@@ -70,7 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audio.features(audio.store(_table(spark, sf_dir, "documents")))
+    found = audio.tensor_summary(audio.features(audio.store(_table(spark, sf_dir, "documents"))))
     digits = F.array_join(F.transform("mel_mean", lambda x: F.format_number(x, 3)), " ")
     spans = F.array_join(F.transform("segments", lambda s: F.concat(F.format_number(s.start_s, 3), F.lit("-"), F.format_number(s.end_s, 3))), " ")
     return found.select(
@@ -81,7 +81,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("samples", -audio.UNIT, audio.UNIT)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(";", F.col("frames").cast("string"), F.size("tensors").cast("string"), digits, F.sha2(spans, 256)).alias("feature"),
+        F.concat_ws(";", F.col("frames").cast("string"), F.col("n_tensors").cast("string"), "tensor_shape", F.format_number("tensor_mean", 3), F.format_number("covered_s", 3), digits, F.sha2(spans, 256)).alias("feature"),
     )
 
 

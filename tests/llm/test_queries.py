@@ -1,6 +1,7 @@
 """The registered queries over whole tables, against plain versions of what they must return."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -13,7 +14,7 @@ from tests.llm.test_packing import check as check_packing
 from tests.llm.test_packing import library_ids
 from tests.llm.test_simhash import plain_components
 from tests.llm.test_substring_dedup import plain as plain_substrings
-from vectorloom.llm import queries
+from vectorloom.llm import queries, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -63,6 +64,24 @@ def test_op2(spark, sf_dir, rows):
     assert set(got) == {i for i, _ in rows}
     for i, r in got.items():
         assert r["held_out"] == (crc(i) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    # The learned lexicon, its entries looked for one by one.
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, labels.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    weights, exceptions = dict(lexicon.weights), [toxicity.fold(p) for p in lexicon.exceptions]
+    assert weights and len(set(got[i]["score"] for i, _ in rows)) > 1
+    b, w1, w2 = lexicon.logistic
+    for i, t in rows:
+        x = toxicity.fold(t)
+        spared = [(at, at + len(p) - 1) for p in exceptions if p not in weights for at in range(len(x)) if x.startswith(p, at)]
+        best = {}
+        for e, w in weights.items():
+            at = x.find(e)
+            while at >= 0:
+                if not any(low <= at < high for low, high in spared):
+                    best[at] = max(best.get(at, w), w)
+                at = x.find(e, at + 1)
+        z = b + w1 * max(best.values(), default=0.0) + w2 * sum(best.values()) / math.sqrt(20 + len(x.split()))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z))), i
 
 
 def test_op3(spark, sf_dir, rows):

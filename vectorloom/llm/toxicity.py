@@ -100,7 +100,11 @@ def _automaton(lexicon: Lexicon):
 
 def matches(lexicon: Lexicon, folded: str) -> dict[int, tuple[float, str]]:
     """The heaviest entry at each matched word's start, outside exception phrases."""
-    a, best, spared = _automaton(lexicon), {}, []
+    return _matched(_automaton(lexicon), folded)
+
+
+def _matched(a, folded: str) -> dict[int, tuple[float, str]]:
+    best, spared = {}, []
     if not len(a):
         return best
     for end, (size, weight, entry) in a.iter(folded):
@@ -115,11 +119,11 @@ def matches(lexicon: Lexicon, folded: str) -> dict[int, tuple[float, str]]:
     return best
 
 
-def features(lexicon: Lexicon, folded: str) -> tuple[float, float, int]:
-    """(heaviest weight, sum of weights by the root of the length, number of words)."""
-    hits = [w for w, _ in matches(lexicon, folded).values()]
+def features(hits: dict[int, tuple[float, str]], folded: str) -> tuple[float, float, int]:
+    """(heaviest weight, sum of weights by the root of the length, number of words) of a text and its matches."""
+    weights = [w for w, _ in hits.values()]
     words = len(folded.split())
-    return max(hits, default=0.0), sum(hits) / math.sqrt(20 + words), words
+    return max(weights, default=0.0), sum(weights) / math.sqrt(20 + words), words
 
 
 def probability(lexicon: Lexicon, heaviest: float, normalised: float) -> float:
@@ -233,11 +237,13 @@ def _featured(frame: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
     """key, score, heaviest, normalised, n_words, matched (the entries that matched) of every row of frame (key, text)."""
 
     def run(batches):
+        automaton = _automaton(lexicon)
         for batch in batches:
             for part in slices(batch):
                 folded = [fold(t) for t in part.column(1).to_pylist()]
-                f = [features(lexicon, x) for x in folded]
-                matched = [sorted({e.strip() for _, e in matches(lexicon, x).values()}) if y[0] else [] for x, y in zip(folded, f, strict=True)]
+                hits = [_matched(automaton, x) for x in folded]
+                f = [features(h, x) for h, x in zip(hits, folded, strict=True)]
+                matched = [sorted({e.strip() for _, e in h.values()}) for h in hits]
                 columns = [part.column(0), pa.array([probability(lexicon, x, y) for x, y, _ in f], pa.float64()), *(pa.array([x[k] for x in f], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.int64())))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(matched, pa.list_(pa.string()))], names=["key", "score", "heaviest", "normalised", "n_words", "matched"])
 
@@ -258,10 +264,12 @@ def accept(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text
     at = docs.columns.index(text_col)
 
     def run(batches):
+        automaton = _automaton(lexicon)
         for batch in batches:
             for part in slices(batch):
-                scores = [probability(lexicon, *features(lexicon, fold(t))[:2]) for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array([x < threshold for x in scores]))
+                folded = [fold(t) for t in part.column(at).to_pylist()]
+                scores = [probability(lexicon, *features(_matched(automaton, x), x)[:2]) for x in folded]
+                yield part.filter(pa.array([x < threshold for x in scores], pa.bool_()))
 
     small_batches(docs)
     return docs.mapInArrow(run, docs.schema)

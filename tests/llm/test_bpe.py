@@ -59,3 +59,14 @@ def test_word_level_equals_library():
     for x in [*texts(3000, 3), "Don't stop, NOW... 123"]:
         want = codec.library.encode(x, add_special_tokens=False).ids
         assert list(memoryview(codec.encode(x)).cast("I")) == want, repr(x)
+
+
+def test_long_texts_are_split_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    codec = word_bpe.encoder(str(tokenizers.path("word_bpe_49k.json")))
+    texts = pa.array(["one two three. " * 40, None, "", "x" * 500, "mixed 中文 text " * 9, " lead and trail "])
+    ids, ends = codec.encode_all(texts)
+    monkeypatch.setattr(word_bpe, "PART_CHARS", 50)
+    again, cuts = codec.encode_all(texts)
+    assert (ids == again).all() and (ends == cuts).all()

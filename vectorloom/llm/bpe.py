@@ -101,7 +101,7 @@ class BoundaryEncoder:
     def encode(self, text: str | None) -> tuple[np.ndarray, str]:
         """The ids, and the same as decimals joined by commas."""
         parts = [text or ""]
-        if self.split_special and "<" in parts[0]:
+        if self.split_special and any(s in parts[0] for s in self.special):
             parts = self.split_special.split(parts[0])
         packed: list[tuple[bytes, str]] = []
         for part in parts:

@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, path: str, length: int, id_col: str = "doc_id", text
     def run(batches):
         codec = word_bpe.encoder(path)
         for batch in batches:
-            ids, ends = codec.encode(batch.column(1))
+            ids, ends = codec.encode_all(batch.column(1))
             ids = np.insert(ids, ends, end_id).astype("<u4")
             sizes = np.diff(ends, prepend=0) + 1
             parts = -(-sizes // length)

@@ -52,7 +52,11 @@ class WordEncoder:
             return self.pieces[chunk]
         return b"".join(map(self.pieces.__getitem__, self.piece.findall(chunk)))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        return self.encode_all(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, one after the other, as unsigned 32-bit numbers; where each text's ids end)."""
         parts, owner, whole = [], [], {}
         for at, text in enumerate(texts.to_pylist()):

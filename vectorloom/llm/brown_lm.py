@@ -42,9 +42,10 @@ SWEEPS = 12
 WORD_SWEEPS = 2
 ALPHA = 0.1
 BETA = 10.0
-#: Tokens that are counted together before their counts leave a worker, and words of one owner.
+#: Tokens that are counted together before their counts leave a worker (words, neighbours), and words of one owner.
 FLUSH_TOKENS = 4_000_000
-GROUP_BYTES = 8 << 20
+FLUSH_NEIGHBOURS = 1_500_000
+GROUP_BYTES = 4 << 20
 SPAN = 4096
 SEED_SPAN = 64
 
@@ -205,7 +206,7 @@ def _neighbours(rows: DataFrame, v: Vocabulary, code: np.ndarray, k: int, words:
                 first = line[at].astype(np.int64) * (2 * k)
                 held += [first + codes[at - 1], first + k + codes[at + 1]]
                 size += len(at)
-            if size and (batch is None or size >= FLUSH_TOKENS):
+            if size and (batch is None or size >= FLUSH_NEIGHBOURS):
                 rows += flush(held)
                 held, size = [], 0
             if batch is None:

@@ -37,14 +37,14 @@ def directory(keys: DataFrame, capacity: int) -> tuple[int, DataFrame]:
     capacity at the last counted bit stays as it is, with overflow chains."""
     counted = keys.groupBy("h").agg(F.lit(1).alias("n"))
     bits = min(62, max(0, (keys.count() - 1) // capacity).bit_length() + SPARE_BITS)
-    prefixes = materialize(counted.groupBy(_leading(F.col("h"), bits).alias("prefix")).agg(F.sum("n").alias("n")), "dedup-prefixes")
+    prefixes = counted.groupBy(_leading(F.col("h"), bits).alias("prefix")).agg(F.sum("n").alias("n"))
     # After d doublings the buckets are the prefixes of d bits.
     doubled = prefixes.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits))))
     doubled = doubled.groupBy("depth", F.expr(f"shiftright(prefix, {bits} - depth)").alias("prefix")).agg(F.sum("n").alias("n"))
     doubled = materialize(doubled, "dedup-doublings")
     overfull = doubled.where((F.col("n") > capacity) & (F.col("depth") < bits)).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
     split = doubled.withColumn("parent", F.shiftright("prefix", 1)).join(maybe_broadcast(overfull), ["depth", "parent"], "left_semi").unionByName(doubled.where("depth = 0").withColumn("parent", F.col("prefix")))
-    buckets = materialize(split.where((F.col("n") <= capacity) | (F.col("depth") == bits)).select("depth", "prefix"), "dedup-buckets")
+    buckets = split.where((F.col("n") <= capacity) | (F.col("depth") == bits)).select("depth", "prefix")
     depth = buckets.agg(F.max("depth")).first()[0] or 0
     first = F.expr(f"shiftleft(prefix, {depth} - depth)")
     last = F.expr(f"shiftleft(prefix + 1, {depth} - depth) - 1")

@@ -1,5 +1,6 @@
 import json
 import threading
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pyarrow as pa
@@ -26,6 +27,20 @@ def test_payloads(spark):
     assert [(r["frame"], r["x"], r["u"], r["speed"]) for r in rows] == [(7, 0.0, 0.0, 1.0), (7, 1.0, 1.0, 2.0), (7, 2.0, 2.0, 3.0)]
 
 
+def test_large_frames_are_several_payloads(spark):
+    # 24,000 points of frame 1, 12,000 rows that are all the same (frame 2), and frames of 3 rows.
+    one = [(1, float(k % 160), float(k // 160), 0.1 * k, -0.0, None if k % 7 == 0 else k / 3) for k in range(24_000)]
+    rows = one + [(2, 1.0, 2.0, 3.0, 4.0, 5.0)] * 12_000 + [(f, float(k), 0.0, 1.0, 1.0, 2.0) for f in (3, None) for k in range(3)]
+    field = spark.createDataFrame(rows, "frame long, x double, y double, u double, v double, speed double")
+    bodies = fields.to_payloads(field)
+    sizes = bodies.select("frame", F.size(F.from_json("body", fields.PAYLOAD)["points"]).alias("n")).collect()
+    assert max(r["n"] for r in sizes) <= 10_000
+    assert [sum(r["n"] for r in sizes if r["frame"] == f) for f in (1, 2, 3, None)] == [24_000, 12_000, 3, 3]
+    assert [r["n"] for r in sizes if r["frame"] in (3, None)] == [3, 3]
+    back = fields.from_payloads(bodies).collect()
+    assert Counter(map(repr, map(tuple, back))) == Counter(map(repr, rows))
+
+
 @pytest.mark.parametrize("body", ["{}", "not json", '{"points": [], "vectors": [], "magnitudes": []}', '{"points": [[1, 2]], "vectors": [], "magnitudes": [1]}', '{"points": [[1, 2]]}'])
 def test_bad_payloads(spark, body):
     raw = spark.createDataFrame([(1, body), (2, payload(2))], "frame long, body string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.config import Filters
 from vectorloom.operators.filters import min_speed_filter, percentile_filter
 
 PAYLOAD = "points array<array<double>>, vectors array<array<double>>, magnitudes array<double>"
+#: A payload that is written holds at most so many points: it is one value, which a task holds whole and several times over.
+PAYLOAD_POINTS = 10_000
 LONG_NAMES = {"seed_x_px": "x", "seed_y_px": "y", "displacement_x_px": "u", "displacement_y_px": "v", "displacement_magnitude_px": "speed"}
 
 
@@ -29,7 +31,7 @@ def check(parsed: DataFrame) -> DataFrame:
 
 
 def from_payloads(raw: DataFrame, strict: bool = True) -> DataFrame:
-    """frame, x, y, u, v, speed from (frame, body): one JSON text a frame. strict: a bad payload is an error, else it is left out."""
+    """frame, x, y, u, v, speed from (frame, body): one JSON text a frame, or several that hold its rows together. strict: a bad payload is an error, else it is left out."""
     parsed = check(raw.select("frame", F.from_json("body", PAYLOAD).alias("payload")))
     if strict:
         message = F.concat(F.lit("frame "), F.col("frame").cast("string"), F.lit(": "), F.col("error"))
@@ -41,9 +43,16 @@ def from_payloads(raw: DataFrame, strict: bool = True) -> DataFrame:
     return rows.select("frame", at("points", 0).alias("x"), at("points", 1).alias("y"), at("vectors", 0).alias("u"), at("vectors", 1).alias("v"), no_nan(F.col("p.magnitudes")).alias("speed"))
 
 
-def to_payloads(field: DataFrame) -> DataFrame:
-    """frame, body: the JSON text of each frame, by x, y. A frame is one payload, so one row."""
-    rows = field.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("x", "y", "u", "v", "speed"))).alias("r"))
+def to_payloads(field: DataFrame, points: int = PAYLOAD_POINTS) -> DataFrame:
+    """frame, body: the JSON text of each frame, by x, y. A frame of more rows than points is dealt into several payloads of
+    at most so many, by a hash and, where rows repeat, by their place; together they hold all its rows."""
+    counts = field.groupBy("frame").agg(F.count(F.lit(1)).alias("n")).select(F.col("frame").alias("__frame"), F.when(F.col("n") <= points, 1).otherwise(F.ceil(2 * F.col("n") / points)).alias("parts"))
+    values = ["x", "y", "u", "v", "speed"]
+    # One row a frame; left to the planner, which broadcasts it while it is small.
+    dealt = field.join(counts, F.col("frame").eqNullSafe(F.col("__frame"))).select("frame", *values, F.pmod(F.xxhash64(*values), F.col("parts")).alias("part"))
+    place = F.row_number().over(Window.partitionBy("frame", "part").orderBy(*values))
+    dealt = dealt.withColumn("chunk", F.floor((place - 1) / points))
+    rows = dealt.groupBy("frame", "part", "chunk").agg(F.sort_array(F.collect_list(F.struct(*values))).alias("r"))
     pair = lambda a, b: F.transform("r", lambda p: F.array(p[a], p[b]))
     body = F.to_json(F.struct(pair("x", "y").alias("points"), pair("u", "v").alias("vectors"), F.transform("r", lambda p: p["speed"]).alias("magnitudes")))
     return rows.select("frame", body.alias("body"))

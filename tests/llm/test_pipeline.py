@@ -59,3 +59,28 @@ def test_nulls_repeats_and_clashing_columns(spark, sf_dir):
     assert Counter(r["row"] for r in out) == {"x": len(out)}
     assert sum(len(words(r["text"])) for r in out) > 50
     assert len({hashlib.sha256((r["text"] or "").encode()).digest() for r in out}) == len(out)
+
+
+def test_a_stage_drops_the_encoder_that_packing_left_in_a_worker(spark, monkeypatch):
+    import public_tokenizers
+
+    from vectorloom.llm import packing, simhash, substring_dedup, toxicity, word_bpe
+
+    taken = []
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    given = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: (taken.append(f), given(self, f, *a, **b))[1])
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    stages = [lambda: toxicity.accept(docs, toxicity.Lexicon()), lambda: simhash.fingerprints(docs, 5), lambda: substring_dedup.remove_repeats(docs)]
+    for stage in stages:
+        taken.clear()
+        stage()
+        for f in list(taken):
+            word_bpe.encoder(path)
+            assert list(f(iter([]))) == []
+            assert word_bpe.encoder.cache_info().currsize == 0
+    taken.clear()
+    packing.pieces(docs, path, 8)
+    word_bpe.encoder(path)
+    list(taken[0](iter([])))
+    assert word_bpe.encoder.cache_info().currsize == 1  # its own tasks keep it

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm import word_bpe
 from vectorloom.llm.shared import materialize, shuffle_parts, small_batches
+from vectorloom.llm.workers import lean
 
 SHARD_PIECES = 16_384
 ISLANDS = 2
@@ -58,7 +59,7 @@ def pieces(docs: DataFrame, path: str, length: int, id_col: str = "doc_id", text
     small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return source.mapInArrow(lean(run, "word_bpe"), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 class Packer:
@@ -174,7 +175,7 @@ def _epoch(frame: DataFrame, capacity: int, epoch: int, generations: int, popula
                 row = (shard, island, labels.tobytes(), len(best), packer.bound, min(map(len, elites)), packer.crossed, packer.fitness(best)[1])
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ISLAND, strict=True)], schema=ISLAND)
 
-    return frame.select("shard", "island", "sizes", "elites").mapInArrow(run, ISLAND_DDL)
+    return frame.select("shard", "island", "sizes", "elites").mapInArrow(lean(run), ISLAND_DDL)
 
 
 def evolve_islands(groups: DataFrame, shards: int, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> list[DataFrame]:
@@ -230,4 +231,4 @@ def _place(frame: DataFrame) -> DataFrame:
                 offset = ends - sizes[order] - base
                 yield pa.RecordBatch.from_arrays([pa.array(rows[order]), pa.array((batch.column(0)[at].as_py() << 32) + labels[order]), pa.array(offset)], names=["__row", "sequence_id", "offset"])
 
-    return frame.select("shard", "items", "elite").mapInArrow(run, "__row long, sequence_id long, offset long")
+    return frame.select("shard", "items", "elite").mapInArrow(lean(run), "__row long, sequence_id long, offset long")

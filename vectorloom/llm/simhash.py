@@ -36,6 +36,7 @@ from vectorloom.llm.bpe import slices
 from vectorloom.llm.components import components, least_of, local_stars
 from vectorloom.llm.shared import block_count, materialize, maybe_broadcast, shuffle_parts, small_batches
 from vectorloom.llm.url_filter import LOWER, UPPER
+from vectorloom.llm.workers import lean, lean_group
 
 SEED = 42
 BITS = 64
@@ -85,7 +86,7 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     small_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, fp long" + (", size long, hashes binary" if sets else ""))
+    return source.mapInArrow(lean(run), f"id {kind}, fp long" + (", size long, hashes binary" if sets else ""))
 
 
 def block_masks(radius: int, rows: int, bucket: int = BUCKET) -> list[int]:
@@ -189,7 +190,7 @@ def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
             yield from _emit(_links_of_run(fps[a:b][_popcount_order(fps[a:b])], radius) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1)
 
     small = spread.join(large.select("t", "k"), ["t", "k"], "left_anti") if some else spread
-    found = small.repartition(parts, "t", "k").sortWithinPartitions("t", "k").select("t", "k", "fp").mapInArrow(whole, "u long, v long")
+    found = small.repartition(parts, "t", "k").sortWithinPartitions("t", "k").select("t", "k", "fp").mapInArrow(lean(whole), "u long, v long")
     if some:
         found = found.unionByName(_large_links(spread.join(maybe_broadcast(large.select("t", "k")), ["t", "k"]), radius, tile))
     return found
@@ -238,7 +239,7 @@ def _large_links(rows: DataFrame, radius: int, tile: int) -> DataFrame:
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
     dealt = tile_pairs(rows, ["t", "k"], "pop", radius, tile, ["fp"])
-    return dealt.groupBy("t", "k", "ca", "qa", "cb", "qb").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy("t", "k", "ca", "qa", "cb", "qb").applyInArrow(lean_group(compare), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
@@ -441,11 +442,11 @@ def _verified(members: DataFrame, k: int, radius: int, similarity: float, family
     some = not large.isEmpty()
     small = members.join(maybe_broadcast(large), "family", "left_anti") if some else members
     small = small.select("family", "row", "f0", "f1", "size", "text")
-    found = small.repartition(parts, "family").sortWithinPartitions("family").mapInArrow(runs, "u long, v long")
+    found = small.repartition(parts, "family").sortWithinPartitions("family").mapInArrow(lean(runs), "u long, v long")
     if some:
         big = members.join(maybe_broadcast(large), "family")
         dealt = tile_pairs(big, ["family"], "class", 1, family_tile, ["row", "f0", "f1", "size", "text"])
-        found = found.unionByName(dealt.groupBy("family", "ca", "qa", "cb", "qb").applyInArrow(pair, "u long, v long"))
+        found = found.unionByName(dealt.groupBy("family", "ca", "qa", "cb", "qb").applyInArrow(lean_group(pair), "u long, v long"))
     return found
 
 

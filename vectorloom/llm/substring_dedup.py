@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from vectorloom.llm.bpe import slices
 from vectorloom.llm.shared import block_count, materialize, small_batches
 from vectorloom.llm.varints import pack_gaps, unpack_gaps
+from vectorloom.llm.workers import lean, lean_cogroup, lean_group
 
 BLOCK_BYTES = 4 << 20
 DEPTH = 2  # one for each half of a window's fingerprint
@@ -268,8 +269,8 @@ def with_repeated(rows: DataFrame, width: int, windows: int, use, out_ddl: str)
         return use(table, block, estimated(block, _told(tell), bits, parts) if len(block.first) else np.zeros(0, bool))
 
     dealt = rows.groupBy("block")
-    told = dealt.applyInArrow(ask, ddl(ASK)).groupBy("row", "slice").applyInArrow(_merge, ddl(TELL))
-    return dealt.cogroup(told.groupBy("block")).applyInArrow(answer, out_ddl)
+    told = dealt.applyInArrow(lean_group(ask), ddl(ASK)).groupBy("row", "slice").applyInArrow(lean_group(_merge), ddl(TELL))
+    return dealt.cogroup(told.groupBy("block")).applyInArrow(lean_cogroup(answer), out_ddl)
 
 
 def _digests(rows: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ def _digests(rows: DataFrame) -> DataFrame:
                 digest = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(w) for w in words], pa.int64()), pa.array(digest, pa.binary())], names=["key", "mark", "block", "n_words", "digest"])
 
-    return rows.select("key", "mark", "block", "text").mapInArrow(run, "key long, mark long, block long, n_words long, digest binary")
+    return rows.select("key", "mark", "block", "text").mapInArrow(lean(run), "key long, mark long, block long, n_words long, digest binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -309,7 +310,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
             who = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
             yield from _table(TELL, [(b, COPIES, 0, x.tobytes()) for b, x in zip(batch.column(0).to_pylist(), who, strict=True)]).to_batches()
 
-    copies = later.mapInArrow(tell_copies, ddl(TELL))
+    copies = later.mapInArrow(lean(tell_copies), ddl(TELL))
 
     def ask(table: pa.Table, tell: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -366,10 +367,10 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     out_ddl = ", ".join([ddl(OUT), *[f"carry{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)]])
     dealt = rows.groupBy("block")
-    asked = dealt.cogroup(copies.groupBy("block")).applyInArrow(ask, ddl(ASK))
-    often = asked.groupBy("row", "slice").applyInArrow(_merge, ddl(TELL))
-    found = dealt.cogroup(often.unionByName(copies).groupBy("block")).applyInArrow(estimate, ddl(FOUND))
-    earlier = found.groupBy("slice").applyInArrow(_exact, ddl(TELL))
-    done = dealt.cogroup(earlier.unionByName(copies).groupBy("block")).applyInArrow(finish, out_ddl)
+    asked = dealt.cogroup(copies.groupBy("block")).applyInArrow(lean_cogroup(ask), ddl(ASK))
+    often = asked.groupBy("row", "slice").applyInArrow(lean_group(_merge), ddl(TELL))
+    found = dealt.cogroup(often.unionByName(copies).groupBy("block")).applyInArrow(lean_cogroup(estimate), ddl(FOUND))
+    earlier = found.groupBy("slice").applyInArrow(lean_group(_exact), ddl(TELL))
+    done = dealt.cogroup(earlier.unionByName(copies).groupBy("block")).applyInArrow(lean_cogroup(finish), out_ddl)
     key = F.when(F.col("key") != NONE_FIRST, F.col("key")).alias(id_col)
     return done.select(key, "n_words", "n_removed", "kept", *[F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)])

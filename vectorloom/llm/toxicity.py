@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.bpe import slices
 from vectorloom.llm.shared import materialize, small_batches
+from vectorloom.llm.workers import lean
 
 FIT_ROWS = 20_000
 LEAST_DOCUMENTS = 3
@@ -149,7 +150,7 @@ def _counted(frame: DataFrame, count) -> DataFrame:
             yield _counts(held)
 
     small_batches(frame)
-    return frame.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return frame.select("text").mapInArrow(lean(run), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def _counts(held: Counter) -> pa.RecordBatch:
@@ -250,7 +251,7 @@ def _featured(frame: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
     small_batches(frame)
     kind = frame.schema[key].dataType.simpleString()
     source = frame.select(F.col(key).alias("key"), "text")
-    out = source.mapInArrow(run, f"key {kind}, score double, heaviest double, normalised double, n_words long, matched array<string>")
+    out = source.mapInArrow(lean(run), f"key {kind}, score double, heaviest double, normalised double, n_words long, matched array<string>")
     return out.withColumnRenamed("key", key)
 
 
@@ -272,4 +273,4 @@ def accept(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text
                 yield part.filter(pa.array([x < threshold for x in scores], pa.bool_()))
 
     small_batches(docs)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from vectorloom.llm import workers
 from vectorloom.llm.bpe import byte_characters
 from vectorloom.llm.piece_cache import PieceCache, TwoAges
 
@@ -123,3 +124,6 @@ def _groups(parts: list[str]) -> list[tuple[int, int]]:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
+
+
+workers.MODELS["word_bpe"] = encoder.cache_clear
